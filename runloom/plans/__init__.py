@@ -1,0 +1,14 @@
+"""The registry of queries and of the SQL that checks them."""
+
+from __future__ import annotations
+
+
+def registry() -> tuple[dict, dict]:
+    """(queries, sql) of the core."""
+    from runloom.plans import data_queries
+
+    queries, sql = {}, {}
+    for m in (data_queries,):
+        queries |= m.QUERIES
+        sql |= m.SQL
+    return queries, sql
