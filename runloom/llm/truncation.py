@@ -12,28 +12,29 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from runloom.session import checkpoint
 
-#: One token: a CJK character, a run of letters and digits, or any other character but space.
-TOKEN = r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+|[^\w\s]|_"
-#: What may stand in a lost end's place. Group 1 says so in words, group 2 is only an ellipsis.
-MARKER = r"(?i)\s*(?:([\[<(][^\[\]<>()\n]{0,40}\b(?:cut|truncated|clipped|omitted|trimmed|shortened|snip)\b[^\[\]<>()\n]{0,40}[\])>])|(\.\.\.|…))\s*$"
+#: One token: a run of letters and digits, or any other character but space (CJK characters among them).
+TOKEN = r"[A-Za-z0-9À-ÖØ-῿]+|\S"
+#: A token that begins with a letter. Plain ranges match several times faster than negated classes.
+WORD = r"[A-Za-zÀ-ÖØ-῿][A-Za-z0-9À-ÖØ-῿]*"
+#: What may stand in a lost end's place.
+MARKER = r"(?i)\s*(?:[\[<(][^\[\]<>()\n]{0,40}\b(?:cut|truncated|clipped|omitted|trimmed|shortened|snip)\b[^\[\]<>()\n]{0,40}[\])>]|\.\.\.|…)\s*$"
 #: A remark by the tool after the text's own end.
 REMARK = r"\s*<NOTE>[^<]*</NOTE>\s*$"
 
 
 @dataclass(frozen=True)
 class TruncationParams:
-    """rare: share of texts below which a word counts as rare. support: occurrences that a trigram's rate needs.
+    """rare: a word is rare below so many occurrences a text. support: occurrences that a trigram's rate needs.
     least_ends: ends that a trigram
     of words needs to speak for itself. usual: rate of ends from which
     a trigram is a usual end. rate: share of a trigram's occurrences that are ends, below which an end is no end; *_rate: the same after an
     ellipsis, and after a marker in words. pile: least texts of one source and equal length for a length limit, of
     which pile_share are cut off by their trigrams."""
 
-    rare: float = 0.01
+    rare: float = 0.02
     support: int = 20
     usual: float = 0.05
     least_ends: int = 3
@@ -45,7 +46,7 @@ class TruncationParams:
 
 
 def _shape(t: Column) -> Column:
-    """A small number for a token's shape: 1 lower case, 2 upper case, 3 digits, 4 CJK, 5 digits and letters, 6 other letters;
+    """A small number for a token's shape: 1 lower case, 2 upper case, 3 digits, 4 CJK, 5 many digits and letters, 6 other letters;
     for other characters 64 + code point."""
     c = F.ascii(t)
     return (
@@ -65,6 +66,28 @@ def _pack(*ids: Column) -> Column:
     return out
 
 
+#: Characters at either end of a text in which its first or last tokens are looked for; the whole text is read where these are too few.
+NEAR = 80
+
+
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
+def _kind(first: Column) -> Column:
+    """A number for how a text begins: the shapes of its first four tokens."""
+    return F.xxhash64(*[F.coalesce(_shape(F.get(first, F.lit(i))), F.lit(0)) for i in range(4)])
+
+
+def _body(df: DataFrame) -> DataFrame:
+    """``df`` with body (text without blanks, remarks and markers at its end) and marker (2 in words, 1 an ellipsis, 0 none)."""
+    own = F.rtrim(F.when(F.rtrim("text").endswith("</NOTE>"), F.regexp_replace("text", REMARK, "")).otherwise(F.col("text")))
+    out = df.select("field", "record_id", "source", F.octet_length("text").alias("bytes"), own.alias("own")).withColumn("end", F.right("own", F.lit(100)))
+    out = out.withColumn("found", F.when(F.col("end").rlike(r"[\])>…]$|\.\.\.$"), F.regexp_extract("end", MARKER, 0)).otherwise(""))
+    marker = F.when(F.col("found") == "", 0).when(F.trim("found").isin("...", "…"), 1).otherwise(2)
+    return out.select("field", "record_id", "source", "bytes", marker.alias("marker"), F.substring("own", F.lit(1), F.length("own") - F.length("found")).alias("body"))
+
+
 def texts(turns: DataFrame | None, tool_results: DataFrame | None) -> DataFrame:
     """(field, record_id, source, text) of the texts that can lose their end; null and blank texts are left out."""
     parts = []
@@ -84,73 +107,70 @@ def find_truncated(df: DataFrame, params: TruncationParams = TruncationParams())
     shorter contexts decide. An empty table gives an empty result.
     """
     p = params
-    body = F.regexp_replace("text", REMARK, "")
-    base = df.select(
-        "field", "record_id", "source", F.octet_length("text").alias("bytes"),
-        F.when(F.regexp_extract(body, MARKER, 1) != "", 2).when(F.regexp_extract(body, MARKER, 2) != "", 1).otherwise(0).alias("marker"),
-        F.regexp_replace(body, MARKER, "").alias("body"),
-    )
-    tokens = F.regexp_extract_all("body", F.lit(TOKEN), F.lit(0))
-    tok = base.select("field", "record_id", "source", "bytes", "marker", tokens.alias("t")).where(F.size("t") > 0)
-
-    # words that are not rare: at most (mean distinct tokens of a text) / rare, whatever the number of texts
-    df_counts = tok.select("field", F.explode(F.array_distinct("t")).alias("w")).groupBy("field", "w").count()
-    n_texts = tok.groupBy("field").agg(F.count("*").alias("n"))
-    vocab = (
-        df_counts.join(F.broadcast(n_texts), "field")
-        .where((F.col("count") >= F.greatest(F.lit(5), p.rare * F.col("n"))) & ~_shape(F.col("w")).isin(3, 4, 5) & (_shape(F.col("w")) < 64))
-        .select("field", "w")
-    )
-    # a number per frequent word, above those of shapes; the window is over the bounded list of words only
-    vocab = checkpoint(vocab.select("field", "w", (F.lit(1 << 18) + F.row_number().over(W.partitionBy("field").orderBy("w"))).alias("id")))
-
-    kind = F.concat_ws("", *[F.when(_shape(F.try_element_at("t", F.lit(i))) < 64, _shape(F.try_element_at("t", F.lit(i))).cast("string")).otherwise(F.try_element_at("t", F.lit(i))) for i in (1, 2, 3, 4)])
-    padded = F.concat(F.array(F.lit("\x02"), F.lit("\x02")), F.col("t"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.struct(F.element_at("q", i).alias("a"), F.element_at("q", i + 1).alias("b"), F.element_at("q", i + 2).alias("c"), (i == F.size("t")).alias("last")))
+    base = _body(df)
+    start = F.lit("\x02")
+
+    # frequent words: at most (mean tokens of a text) / rare of them a field, whatever the number of texts
+    words_of = base.select("field", F.explode(F.regexp_extract_all("body", F.lit(WORD), F.lit(0))).alias("w")).groupBy("field", "w").count()
+    n_texts = base.groupBy("field").agg(F.count("*").alias("n"))
+    frequent = words_of.join(F.broadcast(n_texts), "field").where((F.col("count") >= F.greatest(F.lit(5), p.rare * F.col("n"))) & _shape(F.col("w")).isin(1, 2, 6))
+    vocab: dict[str, list[int]] = {}
+    for field, h in frequent.select("field", F.xxhash64("w").alias("h")).collect():
+        vocab.setdefault(field, []).append(h)
+
+    def frequent_word(field: Column, h: Column) -> Column:
+        out = F.lit(False)
+        for name, hs in sorted(vocab.items()):
+            out = out | ((field == name) & h.isin(hs))
+        return out
 
     def numbered(x: DataFrame) -> DataFrame:
-        """Columns a, b, c replaced by word numbers (w*; shapes for rare words) and shapes (s*)."""
+        """Columns a, b, c as w (words, shapes for rare ones), s (shapes) and rare (whether c is a rare word)."""
+        for c in "abc":
+            x = x.withColumn("h" + c, F.xxhash64(c)).withColumn("s" + c, _shape(F.col(c)))
         for c in "abc":
-            v = F.broadcast(vocab.select(F.col("field").alias("vf"), F.col("w").alias("vw"), F.col("id").alias("i" + c)))
-            x = x.join(v, (F.col("vf") == F.col("field")) & (F.col("vw") == F.col(c)), "left").drop("vf", "vw")
-            x = x.withColumn("w" + c, F.coalesce(F.col("i" + c), _shape(F.col(c)))).withColumn("s" + c, _shape(F.col(c))).drop("i" + c)
-        return x.drop("a", "b", "c")
-
-    exploded = tok.select("field", kind.alias("kind"), "t", padded.alias("q")).select("field", "kind", F.explode(grams).alias("g")).select("field", "kind", "g.a", "g.b", "g.c", "g.last")
-    words = (
-        numbered(exploded)
-        .select("field", F.crc32(F.col("kind").cast("binary")).alias("kind"), _pack(*map(F.col, ("wa", "wb", "wc"))).alias("w"), _pack(*map(F.col, ("sa", "sb", "sc"))).alias("s"), F.col("last").cast("long").alias("last"))
-        .groupBy("field", "kind", "w", "s")
-        .agg(F.sum("last").alias("ends"), F.count("*").alias("all"))
-    )
-    words = checkpoint(words)  # of the size of the vocabulary's trigrams, not of the texts
+            x = x.withColumn("f" + c, frequent_word(F.col("field"), F.col("h" + c)))
+        w = F.xxhash64(*[F.when(F.col("f" + c), F.col("h" + c)).otherwise(F.col("s" + c)) for c in "abc"])
+        keep = [c for c in x.columns if c[0] not in "abchsf" or len(c) > 2]
+        return x.select(*keep, w.alias("w"), _pack(F.col("sa"), F.col("sb"), F.col("sc")).alias("s"), (~F.col("fc") & F.col("sc").isin(1, 2, 6)).alias("rare"))
+
+    # no filter here: it would be pushed below and split every text twice; texts without a token explode to nothing
+    tok = base.select("field", F.concat(F.array(start, start), _tokens(F.col("body"))).alias("q")).select("field", "q", (F.size("q") - 2).alias("n"), _kind(F.slice("q", F.lit(3), F.lit(4))).alias("kind"))
+    zipped = F.arrays_zip(F.slice("q", F.lit(1), F.col("n")), F.slice("q", F.lit(2), F.col("n")), F.slice("q", F.lit(3), F.col("n")))
+    exploded = tok.select("field", "kind", "n", F.posexplode(zipped).alias("at", "g")).select("field", "kind", F.col("g.0").alias("a"), F.col("g.1").alias("b"), F.col("g.2").alias("c"), (F.col("at") == F.col("n") - 1).cast("long").alias("last"))
+    words = checkpoint(numbered(exploded).groupBy("field", "kind", "w", "s", "rare").agg(F.sum("last").alias("ends"), F.count("*").alias("all")))
 
     # Ends in a frequent word or sign that often stand at the end account for themselves. What shapes say about a rare last
     # word, which may be a cut one, leaves them out.
     by_word = words.groupBy("field", "w").agg(F.sum("ends").alias("e"), F.sum("all").alias("n")).where((F.col("e") >= p.least_ends) & (F.col("n") >= p.support))
     by_word = by_word.select("field", "w", (F.col("e") / F.col("n")).alias("r_word"))
-    rare_end = F.pmod("w", F.lit(1 << 20)).isin(1, 2, 6)
     known = words.join(by_word, ["field", "w"], "left").select(
-        "field", "kind", "w", "s", F.pmod("s", F.lit(1 << 40)).alias("s2"), F.pmod("s", F.lit(1 << 20)).alias("s1"), "ends", "all", "r_word",
-        F.when(~rare_end & (F.coalesce("r_word", F.lit(0.0)) >= p.usual), 0).otherwise(F.col("ends")).alias("open"),
+        "field", "kind", "w", "s", "rare", F.pmod("s", F.lit(1 << 40)).alias("s2"), F.pmod("s", F.lit(1 << 20)).alias("s1"), "ends", "all", "r_word",
+        F.when(~F.col("rare") & (F.coalesce("r_word", F.lit(0.0)) >= p.usual), 0).otherwise(F.col("ends")).alias("open"),
     )
 
-    def rate(keys: list[str], name: str) -> DataFrame:
-        r = known.groupBy("field", *keys).agg(F.sum("ends").alias("e"), F.sum("open").alias("o"), F.sum("all").alias("n")).where((F.col("e") > 0) & (F.col("n") >= p.support))
-        return r.select("field", *keys, F.struct((F.col("e") / F.col("n")).alias("full"), (F.col("o") / F.col("n")).alias("open")).alias(name))
+    sums = [F.sum(c).alias(c) for c in ("ends", "open", "all")]
+    by_shape = known.groupBy("field", "s", "s2", "s1").agg(*sums)
 
-    ends = known.where("ends > 0").select("field", "kind", "w", "s", "s2", "s1", "r_word").distinct()
-    for keys, name in ((["kind", "s"], "r_kind"), (["s"], "r_three"), (["s2"], "r_two"), (["s1"], "r_one")):
-        ends = ends.join(rate(keys, name), ["field", *keys], "left")
-    shapes = F.coalesce("r_kind", "r_three", "r_two", "r_one")
-    rate_at = F.when(rare_end, shapes["open"]).otherwise(F.greatest(F.coalesce("r_word", F.lit(0.0)), F.coalesce(shapes["full"], F.lit(0.0))))
-    ends = ends.select("field", "kind", "w", "s", F.coalesce(rate_at, F.lit(1.0)).alias("rate"))
+    def rate(of: DataFrame, keys: list[str], name: str) -> DataFrame:
+        r = of.groupBy("field", *keys).agg(*sums).where((F.col("ends") > 0) & (F.col("all") >= p.support))
+        return r.select("field", *keys, F.struct((F.col("ends") / F.col("all")).alias("full"), (F.col("open") / F.col("all")).alias("open")).alias(name))
 
-    q = F.concat(F.array(F.lit("\x02"), F.lit("\x02")), F.col("t"))
-    last = tok.select("field", "record_id", "source", "bytes", "marker", kind.alias("kind"), q.alias("q")).select("field", "record_id", "source", "bytes", "marker", F.crc32(F.col("kind").cast("binary")).alias("kind"), *[F.element_at("q", i).alias(c) for i, c in ((-3, "a"), (-2, "b"), (-1, "c"))])
-    last = numbered(last).select("field", "record_id", "source", "bytes", "marker", "kind", _pack(*map(F.col, ("wa", "wb", "wc"))).alias("w"), _pack(*map(F.col, ("sa", "sb", "sc"))).alias("s"))
+    ends = known.where("ends > 0").select("field", "kind", "w", "s", "rare", "s2", "s1", "r_word").distinct()
+    for of, keys, name in ((known, ["kind", "s"], "r_kind"), (by_shape, ["s"], "r_three"), (by_shape, ["s2"], "r_two"), (by_shape, ["s1"], "r_one")):
+        ends = ends.join(rate(of, keys, name), ["field", *keys], "left")
+    shapes = F.coalesce("r_kind", "r_three", "r_two", "r_one")
+    rate_at = F.when(F.col("rare"), shapes["open"]).otherwise(F.greatest(F.coalesce("r_word", F.lit(0.0)), F.coalesce(shapes["full"], F.lit(0.0))))
+    ends = ends.select("field", "kind", "w", "s", "rare", F.coalesce(rate_at, F.lit(1.0)).alias("rate"))
+
+    # enough tokens near the end (the first of these may be a part of one) or else all
+    near, far, whole = _tokens(F.left("body", F.lit(NEAR))), _tokens(F.right("body", F.lit(NEAR))), _tokens(F.col("body"))
+    last = base.select("field", "record_id", "source", "bytes", "marker", "body", near.alias("near"), far.alias("far"))
+    last = last.select("field", "record_id", "source", "bytes", "marker", _kind(F.when(F.size("near") > 4, F.col("near")).otherwise(whole)).alias("kind"), F.when(F.size("far") > 3, F.col("far")).otherwise(whole).alias("far"))
+    last = last.select("field", "record_id", "source", "bytes", "marker", "kind", *[F.coalesce(F.get("far", F.size("far") - i), start).alias(c) for c, i in (("a", 3), ("b", 2), ("c", 1))])
+    last = numbered(last).select("field", "record_id", "source", "bytes", "marker", "kind", "w", "s", "rare")
     least = F.when(F.col("marker") == 2, p.marker_rate).when(F.col("marker") == 1, p.ellipsis_rate).otherwise(p.rate)
-    judged = last.join(ends, ["field", "kind", "w", "s"], "left").select("field", "record_id", "source", "bytes", "rate", (F.col("rate") < least).alias("cut"))
+    judged = last.join(ends, ["field", "kind", "w", "s", "rare"], "left").select("field", "record_id", "source", "bytes", "rate", F.coalesce(F.col("rate") < least, F.lit(False)).alias("cut"))
     judged = checkpoint(judged)
     # texts of a source that pile up at one length, most of them cut there: a limit, and all of them reached it
     limits = judged.groupBy("field", "source", "bytes").agg(F.count("*").alias("n"), F.avg(F.col("cut").cast("double")).alias("share")).where((F.col("n") >= p.pile) & (F.col("share") >= p.pile_share))
