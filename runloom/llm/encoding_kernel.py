@@ -65,6 +65,10 @@ _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _QUOTED = re.compile(r"(?<!`)`[^`\n]{1,24}`(?!`)|�(?=['\"”’»)\]]?\s*\(?U\+FFFD)|(?<=U\+FFFD )[(\"'“]?�|(?<=U\+FFFD, )�|['\"“‘«]�['\"”’»]", re.I)
 
 
+#: ASCII further than two characters from any other, which no rule looks at.
+_PLAIN = re.compile(r"(?<=[\x00-\x7f]{2})[\x00-\x7f]+(?=[\x00-\x7f]{2})")
+
+
 @lru_cache(maxsize=65536)
 def _rare_han(ch: str) -> float:
     """0 for the hanzi or kanji of everyday text (level 1 of GB 2312 or JIS X 0208), more for rarer ones."""
@@ -91,6 +95,8 @@ def cost(text: str, mostly_han: bool = False) -> float:
     """How garbled a text looks; 0 for text that reads correctly. Lost characters count where they stand."""
     if text.isascii():
         return 0.0
+    if len(text) > 40:
+        text = _PLAIN.sub(" ", text)
     total = 2.0 * len(_LOST.findall(text))
     for pattern, weight in _RULES:
         n = sum(1 for _ in pattern.finditer(text))
