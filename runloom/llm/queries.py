@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.llm import event_runs, leakage, mixing, mojibake, packing, truncation
-from runloom.sources.tables import table
+from runloom.sources.tables import spread, table
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.find_truncated(truncation.texts(table(spark, d, "turns"), table(spark, d, "tool_results")))
+    return truncation.find_truncated(spread(truncation.texts(table(spark, d, "turns"), table(spark, d, "tool_results"))))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,12 +45,12 @@ def p3_events(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold an evaluation item or a passage of it."""
-    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+    return leakage.find_leaks(spread(table(spark, d, "documents")), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
 def p6_items(spark: SparkSession, d: str) -> DataFrame:
     """Which items leaked, into how many documents."""
-    hits = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    hits = leakage.find_leaks(spread(table(spark, d, "documents")), table(spark, d, "eval_items"))
     return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("tokens").alias("most_tokens"))
 
 
@@ -66,12 +66,12 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Garbled documents."""
-    return mojibake.repair(table(spark, d, "documents")).select("doc_id").distinct()
+    return mojibake.repair(spread(table(spark, d, "documents"))).select("doc_id").distinct()
 
 
 def p8_repair(spark: SparkSession, d: str) -> DataFrame:
     """Garbled documents with their restored texts."""
-    return mojibake.repair(table(spark, d, "documents"))
+    return mojibake.repair(spread(table(spark, d, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_pack, p2_fill, p3_found, p3_events, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_repair)}

@@ -118,18 +118,16 @@ def find_truncated(df: DataFrame, params: TruncationParams = TruncationParams())
     for field, h in frequent.select("field", F.xxhash64("w").alias("h")).collect():
         vocab.setdefault(field, []).append(h)
 
-    def frequent_word(field: Column, h: Column) -> Column:
-        out = F.lit(False)
-        for name, hs in sorted(vocab.items()):
-            out = out | ((field == name) & h.isin(hs))
-        return out
+    def frequent_word(h: str) -> Column:
+        some = [f"(field = '{name.replace(chr(39), chr(92) + chr(39))}' AND {h} IN ({', '.join(f'{x}L' for x in hs)}))" for name, hs in sorted(vocab.items())]
+        return F.expr(" OR ".join(some)) if some else F.lit(False)
 
     def numbered(x: DataFrame) -> DataFrame:
         """Columns a, b, c as w (words, shapes for rare ones), s (shapes) and rare (whether c is a rare word)."""
         for c in "abc":
             x = x.withColumn("h" + c, F.xxhash64(c)).withColumn("s" + c, _shape(F.col(c)))
         for c in "abc":
-            x = x.withColumn("f" + c, frequent_word(F.col("field"), F.col("h" + c)))
+            x = x.withColumn("f" + c, frequent_word("h" + c))
         w = F.xxhash64(*[F.when(F.col("f" + c), F.col("h" + c)).otherwise(F.col("s" + c)) for c in "abc"])
         keep = [c for c in x.columns if c[0] not in "abchsf" or len(c) > 2]
         return x.select(*keep, w.alias("w"), _pack(F.col("sa"), F.col("sb"), F.col("sc")).alias("s"), (~F.col("fc") & F.col("sc").isin(1, 2, 6)).alias("rare"))
