@@ -67,7 +67,7 @@ def _pack(*ids: Column) -> Column:
 
 
 #: Characters at either end of a text in which its first or last tokens are looked for; the whole text is read where these are too few.
-NEAR = 80
+NEAR = 48
 
 
 def _tokens(text: Column) -> Column:
