@@ -19,8 +19,8 @@ from runloom.session import checkpoint
 TOKEN = r"[A-Za-z0-9À-ÖØ-῿]+|\S"
 #: A token that begins with a letter. Plain ranges match several times faster than negated classes.
 WORD = r"[A-Za-zÀ-ÖØ-῿][A-Za-z0-9À-ÖØ-῿]*"
-#: What may stand in a lost end's place.
-MARKER = r"(?i)\s*(?:[\[<(][^\[\]<>()\n]{0,40}\b(?:cut|truncated|clipped|omitted|trimmed|shortened|snip)\b[^\[\]<>()\n]{0,40}[\])>]|\.\.\.|…)\s*$"
+#: What may stand in a lost end's place; U+FFFD is what a limit in bytes leaves of a character that it cut.
+MARKER = r"(?i)\uFFFD*\s*(?:[\[<(][^\[\]<>()\n]{0,40}\b(?:cut|truncated|clipped|omitted|trimmed|shortened|snip)\b[^\[\]<>()\n]{0,40}[\])>]|\.\.\.|…)\s*$|\uFFFD+\s*$"
 #: A remark by the tool after the text's own end.
 REMARK = r"\s*<NOTE>[^<]*</NOTE>\s*$"
 
@@ -80,11 +80,11 @@ def _kind(first: Column) -> Column:
 
 
 def _body(df: DataFrame) -> DataFrame:
-    """``df`` with body (text without blanks, remarks and markers at its end) and marker (2 in words, 1 an ellipsis, 0 none)."""
+    """``df`` with body (text without blanks, remarks and markers at its end) and marker (3 a lost character, 2 in words, 1 an ellipsis, 0 none)."""
     own = F.rtrim(F.when(F.rtrim("text").endswith("</NOTE>"), F.regexp_replace("text", REMARK, "")).otherwise(F.col("text")))
     out = df.select("field", "record_id", "source", F.octet_length("text").alias("bytes"), own.alias("own")).withColumn("end", F.right("own", F.lit(100)))
-    out = out.withColumn("found", F.when(F.col("end").rlike(r"[\])>…]$|\.\.\.$"), F.regexp_extract("end", MARKER, 0)).otherwise(""))
-    marker = F.when(F.col("found") == "", 0).when(F.trim("found").isin("...", "…"), 1).otherwise(2)
+    out = out.withColumn("found", F.when(F.col("end").rlike(r"[\])>…]$|\uFFFD\s*$|\.\.\.$"), F.regexp_extract("end", MARKER, 0)).otherwise(""))
+    marker = F.when(F.col("found") == "", 0).when(F.startswith("found", F.lit("\ufffd")), 3).when(F.trim("found").isin("...", "…"), 1).otherwise(2)
     return out.select("field", "record_id", "source", "bytes", marker.alias("marker"), F.substring("own", F.lit(1), F.length("own") - F.length("found")).alias("body"))
 
 
@@ -103,7 +103,8 @@ def find_truncated(df: DataFrame, params: TruncationParams = TruncationParams())
     """Rows of ``df`` (field, record_id, source, text, any others ignored) judged: field, record_id, source, ends_at_rate, at_limit, truncated.
 
     One row per row of ``df`` with a text; rows with null or blank text have none. Equal rows are judged alike. A null
-    source counts as a source of its own. With few texts, trigrams lack the support that a verdict needs and
+    source counts as a source of its own. A text that ends in U+FFFD has lost its last character, whatever else ends
+    so. With few texts, trigrams lack the support that a verdict needs and
     shorter contexts decide. An empty table gives an empty result.
     """
     p = params
@@ -168,7 +169,7 @@ def find_truncated(df: DataFrame, params: TruncationParams = TruncationParams())
     last = last.select("field", "record_id", "source", "bytes", "marker", "kind", *[F.coalesce(F.get("far", F.size("far") - i), start).alias(c) for c, i in (("a", 3), ("b", 2), ("c", 1))])
     last = numbered(last).select("field", "record_id", "source", "bytes", "marker", "kind", "w", "s", "rare")
     least = F.when(F.col("marker") == 2, p.marker_rate).when(F.col("marker") == 1, p.ellipsis_rate).otherwise(p.rate)
-    judged = last.join(ends, ["field", "kind", "w", "s", "rare"], "left").select("field", "record_id", "source", "bytes", "rate", F.coalesce(F.col("rate") < least, F.lit(False)).alias("cut"))
+    judged = last.join(ends, ["field", "kind", "w", "s", "rare"], "left").select("field", "record_id", "source", "bytes", "rate", F.coalesce((F.col("marker") == 3) | (F.col("rate") < least), F.lit(False)).alias("cut"))
     judged = checkpoint(judged)
     # texts of a source that pile up at one length, most of them cut there: a limit, and all of them reached it
     limits = judged.groupBy("field", "source", "bytes").agg(F.count("*").alias("n"), F.avg(F.col("cut").cast("double")).alias("share")).where((F.col("n") >= p.pile) & (F.col("share") >= p.pile_share))

@@ -35,3 +35,18 @@ def test_cut_texts_are_told_from_whole_ones(spark):
     assert len(cut & found) >= 0.97 * len(cut) and len(found - cut - limit) <= 3
     report = {r["source"]: r for r in truncation.report(truncation.find_truncated(df)).collect()}
     assert report["b"]["truncated"] == sum(1 for i in found if got[i]["source"] == "b")
+
+
+def test_a_lost_last_character_is_a_cut_however_many_there_are(spark):
+    rng = random.Random(5)
+    rows, cut = [], set()
+    for i in range(1500):
+        text = " ".join(sentence(rng) for _ in range(rng.randrange(2, 7)))
+        if i % 10 == 0:  # 150 texts, each of its own length
+            text = text[: rng.randrange(20, len(text) - 5)].rstrip() + rng.choice(["\ufffd", " \ufffd", "\ufffd\ufffd", "\ufffd...", "\ufffd [truncated]", "\ufffd \n"])
+            cut.add(i)
+        rows.append(("response", i, "a", text))
+    rows.append(("response", 5000, "b", "\ufffd"))
+    df = spark.createDataFrame(rows, "field string, record_id long, source string, text string")
+    found = {r["record_id"] for r in truncation.find_truncated(df).where("truncated").collect()}
+    assert cut | {5000} <= found and len(found - cut) <= 3
