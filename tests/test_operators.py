@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from runloom.functions import text as T
 from runloom.operators import grading, messages, monitor, retrieval, sequence
 from runloom.operators.order import with_index
+from runloom.plans import registry
 from runloom.streaming import sessions
 
 
@@ -128,3 +129,9 @@ def test_session_states_batch_and_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("phases").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("phases").collect()} == want
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_kmeans_index_recall(spark, sf):
+    found, want = ({(r["query_id"], r["vec_id"]) for r in registry()[0][name](spark, f"/root/testdata/{sf}").collect()} for name in ("ivf_kmeans", "exact_topk"))
+    assert len(found & want) >= 0.9 * len(want)
