@@ -8,6 +8,7 @@ joined to these counts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -153,14 +154,22 @@ def find_truncated(df: DataFrame, params: TruncationParams = TruncationParams())
 
     def rate(of: DataFrame, keys: list[str], name: str) -> DataFrame:
         r = of.groupBy("field", *keys).agg(*sums).where((F.col("ends") > 0) & (F.col("all") >= p.support))
-        return r.select("field", *keys, F.struct((F.col("ends") / F.col("all")).alias("full"), (F.col("open") / F.col("all")).alias("open")).alias(name))
+        few = F.col("all") * p.rate <= 1  # one end is a usual one here
+        return r.select("field", *keys, F.struct(*[F.struct((F.col(c) / F.col("all")).alias("rate"), (few & (F.col(c) <= 1)).alias("own")).alias(c) for c in ("ends", "open")]).alias(name))
 
     ends = known.where("ends > 0").select("field", "kind", "w", "s", "rare", "s2", "s1", "r_word").distinct()
     for of, keys, name in ((known, ["kind", "s"], "r_kind"), (by_shape, ["s"], "r_three"), (by_shape, ["s2"], "r_two"), (by_shape, ["s1"], "r_one")):
         ends = ends.join(rate(of, keys, name), ["field", *keys], "left")
-    shapes = F.coalesce("r_kind", "r_three", "r_two", "r_one")
-    rate_at = F.when(F.col("rare"), shapes["open"]).otherwise(F.greatest(F.coalesce("r_word", F.lit(0.0)), F.coalesce(shapes["full"], F.lit(0.0))))
-    ends = ends.select("field", "kind", "w", "s", "rare", F.coalesce(rate_at, F.lit(1.0)).alias("rate"))
+    contexts = [F.col(c) for c in ("r_kind", "r_three", "r_two", "r_one")]
+
+    def rate_at(shapes: Callable[[str], Column]) -> Column:
+        found = F.when(F.col("rare"), shapes("open")).otherwise(F.greatest(F.coalesce("r_word", F.lit(0.0)), F.coalesce(shapes("ends"), F.lit(0.0))))
+        return F.coalesce(found, F.lit(1.0))
+
+    # a text's own end, alone among few uses, would acquit itself: a wider context of two tokens or more is asked then
+    marked = rate_at(lambda c: F.coalesce(*contexts)[c]["rate"])
+    others = rate_at(lambda c: F.coalesce(*[F.when(~x[c]["own"], x[c]["rate"]) for x in contexts[:3]], F.coalesce(*contexts)[c]["rate"]))
+    ends = ends.select("field", "kind", "w", "s", "rare", others.alias("others"), marked.alias("marked"))
 
     # enough tokens near the end (the first of these may be a part of one) or else all
     near, far, whole = _tokens(F.left("body", F.lit(NEAR))), _tokens(F.right("body", F.lit(NEAR))), _tokens(F.col("body"))
@@ -169,7 +178,8 @@ def find_truncated(df: DataFrame, params: TruncationParams = TruncationParams())
     last = last.select("field", "record_id", "source", "bytes", "marker", "kind", *[F.coalesce(F.get("far", F.size("far") - i), start).alias(c) for c, i in (("a", 3), ("b", 2), ("c", 1))])
     last = numbered(last).select("field", "record_id", "source", "bytes", "marker", "kind", "w", "s", "rare")
     least = F.when(F.col("marker") == 2, p.marker_rate).when(F.col("marker") == 1, p.ellipsis_rate).otherwise(p.rate)
-    judged = last.join(ends, ["field", "kind", "w", "s", "rare"], "left").select("field", "record_id", "source", "bytes", "rate", F.coalesce((F.col("marker") == 3) | (F.col("rate") < least), F.lit(False)).alias("cut"))
+    judged = last.join(ends, ["field", "kind", "w", "s", "rare"], "left").withColumn("rate", F.when(F.col("marker") == 0, F.col("others")).otherwise(F.col("marked")))
+    judged = judged.select("field", "record_id", "source", "bytes", "rate", F.coalesce((F.col("marker") == 3) | (F.col("rate") < least), F.lit(False)).alias("cut"))
     judged = checkpoint(judged)
     # texts of a source that pile up at one length, most of them cut there: a limit, and all of them reached it
     limits = judged.groupBy("field", "source", "bytes").agg(F.count("*").alias("n"), F.avg(F.col("cut").cast("double")).alias("share")).where((F.col("n") >= p.pile) & (F.col("share") >= p.pile_share))

@@ -50,3 +50,12 @@ def test_a_lost_last_character_is_a_cut_however_many_there_are(spark):
     df = spark.createDataFrame(rows, "field string, record_id long, source string, text string")
     found = {r["record_id"] for r in truncation.find_truncated(df).where("truncated").collect()}
     assert cut | {5000} <= found and len(found - cut) <= 3
+
+
+def test_a_rare_layout_does_not_acquit_its_only_cut(spark):
+    rng = random.Random(6)
+    rows = [("response", i, "a", f"{sentence(rng)} <tool> {sentence(rng)}") for i in range(1500)]
+    rows += [("response", 2000 + i, "a", f"# 1: 2 {sentence(rng)} <tool> {sentence(rng)}") for i in range(30)]
+    rows.append(("response", 3000, "a", f"# 1: 2 {sentence(rng)} <tool"))
+    df = spark.createDataFrame(rows, "field string, record_id long, source string, text string")
+    assert [r["record_id"] for r in truncation.find_truncated(df).where("truncated").collect()] == [3000]
