@@ -34,3 +34,17 @@ def test_correct_text(text):
 @pytest.mark.parametrize("text", ["A fun��o ignora", "37 �C", "Cost: 4 鈧�, 37 掳C, 卤5 %.", "Schl³ssel ½kadane╗ lõdt die õu▀ere", "ðåæèìå ïóñòîé êàòàëîã", "ÆÀ·ÖÆ÷µÚ¶þ²½ÖØ¸´¿ÕÄ¿Â¼"])
 def test_other_garbling(text):
     assert judge(text)[0]
+
+
+@pytest.mark.parametrize("true,read", [("koi8-r", "cp1251"), ("cp1251", "koi8-r")])
+@pytest.mark.parametrize("text", ["Планировщик закрывает весь буфер.", "удаляет каталог в тихом режиме", "Проверка меняет буфер, запрос меняет ключ."])
+def test_lower_case_word_garbled_in_place(text, true, read):
+    for word in ("закрывает", "каталог", "меняет"):
+        if word in text:
+            bad = text.replace(word, wrong(word, true, read), 1)
+            assert bad != text and judge(bad)[:3] == (True, text, f"{read}>{true}")
+
+
+@pytest.mark.parametrize("text", ["ВНИМАНИЕ: СТАРЫЙ КЛЮЧ, НОВЫЙ ИНДЕКС! Проверка ГОСТ, НАТО, СССР, ФГБУ, ЮНЕСКО, МХАТ.", "ПЛАНИРОВЩИК ХРАНИТ 842 × СТАРЫЙ КЛЮЧ!"])
+def test_real_capitals(text):
+    assert judge(text)[:2] == (False, text)
