@@ -91,9 +91,9 @@ class SeedIndex:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate(at_doc), np.concatenate(at_item)
 
-    def overlaps(self, flat: np.ndarray, doc_of: np.ndarray, doc_start: np.ndarray, least_rare: int = 0):
+    def overlaps(self, flat: np.ndarray, doc_of: np.ndarray, doc_start: np.ndarray, least_rare: int = 0, least_tokens: int = 0):
         """{(document index, item index): (tokens in common order, distinct rare tokens among them)} of every pair
-        that shares a seed. Words put in, left out or replaced between equal tokens do no harm. Stretches that hold
+        that shares a seed, for the stretch that meets both least counts with most rare tokens, else the one with most. Words put in, left out or replaced between equal tokens do no harm. Stretches that hold
         fewer than ``least_rare`` of an item's rare tokens in any order are not aligned."""
         at_doc, at_item = self.hits(flat, doc_of)
         out: dict[tuple[int, int], tuple[int, int]] = {}
@@ -118,7 +118,7 @@ class SeedIndex:
                 if least_rare and np.isin(own, flat[lo:hi]).sum() < least_rare:
                     k = e + 1
                     continue
-                best = max(best, common(flat[lo:hi], item, rare), key=lambda v: (v[1], v[0]))
+                best = max(best, common(flat[lo:hi], item, rare), key=lambda v: (v[0] >= least_tokens and v[1] >= least_rare, v[1], v[0]))
                 k = e + 1
             out[dk, ik] = best
         return out

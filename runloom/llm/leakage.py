@@ -59,7 +59,7 @@ def find_leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
             for b in batches:
                 flat, offsets = _flat(b.column(1))
                 doc_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-                found = [(d, int(index.ids[i]), *v) for (d, i), v in index.overlaps(flat, doc_of, offsets, LEAST_RARE).items() if v[0] >= LEAST_TOKENS and v[1] >= LEAST_RARE]
+                found = [(d, int(index.ids[i]), *v) for (d, i), v in index.overlaps(flat, doc_of, offsets, LEAST_RARE, LEAST_TOKENS).items() if v[0] >= LEAST_TOKENS and v[1] >= LEAST_RARE]
                 ids = b.column(0).take(pa.array([f[0] for f in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array([f[c] for f in found], pa.int64()) for c in (1, 2, 3)]], names=["doc_id", "item_id", "tokens", "rare_tokens"])
 

@@ -44,3 +44,17 @@ def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_TOKENS", 500)
     got = {(r[0], r[1]) for r in leakage.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(i, i) for i in range(40)}
+
+
+def test_a_stretch_that_qualifies_counts_beside_one_with_more_rare_tokens(spark):
+    rng = random.Random(3)
+    plain = [f"plain{k}" for k in range(20)]  # in three items each: no evidence
+    first, second = [f"rare{k}" for k in range(8)], [f"seldom{k}" for k in range(5)]
+    head = first + plain[:8]  # 16 tokens, 8 of them rare
+    tail = [w for k in range(5) for w in [second[k], *plain[4 * k : 4 * k + 4]]]  # 25 tokens, 5 of them rare
+    items = [(0, " ".join([*head, *text(rng, 40).split(), *tail])), (1, " ".join(plain)), (2, " ".join(plain))]
+    far = " ".join(f"far{k}" for k in range(2000))
+    docs = [(0, " ".join([*head, far, *tail])), (1, " ".join([*head, far]))]
+    got = leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]): (r["tokens"], r["rare_tokens"]) for r in got.collect()}
+    assert found[0, 0] == (25, 5) and (1, 0) not in found
