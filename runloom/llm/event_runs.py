@@ -81,13 +81,16 @@ def collapse(tool_results: DataFrame, min_similarity: float = 1.0, max_gap_s: fl
     belong to no run and have no event. An empty table gives an empty result.
 
     Calls are range-partitioned by their place, so one agent run of any length spreads over many tasks; only the first
-    and the last event of each partition (two rows each) are then joined across the partitions' borders.
+    and the last event of each partition (two rows each) are then joined across the partitions' borders. That is exact for
+    equal actions only; below 1 a stretch of neighbours of one tool, one status and no gap is merged whole by one task.
     """
     start = F.unix_micros(F.col("started_at").cast("timestamp"))
     calls = tool_results.where("run_id is not null").select(
         "run_id", F.col("step_idx").cast("int").alias("step_idx"), F.col("call_idx").cast("int").alias("call_idx"), F.col("call_id").cast("long").alias("call_id"), "tool_name", "action", "status",
         start.alias("s"), (start + F.coalesce(F.col("execution_time") * 1e6, F.lit(0.0)).cast("long")).alias("e"),
     )
+    if min_similarity < 1:
+        return _finished(_collapse_stretches(calls, min_similarity, None if max_gap_s is None else int(max_gap_s * 1e6)))
     n = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = calls.repartitionByRange(n, "run_id", "step_idx", "call_idx", "call_id").sortWithinPartitions("run_id", "step_idx", "call_idx", "call_id", "s")
     placed = placed.select("run_id", "step_idx", "call_id", "tool_name", "action", "status", "s", "e", F.spark_partition_id().alias("part"))
@@ -104,6 +107,38 @@ def collapse(tool_results: DataFrame, min_similarity: float = 1.0, max_gap_s: fl
         F.min_by("first_call_id", "border").alias("first_call_id"), F.max_by("last_call_id", "border").alias("last_call_id"), F.min_by("tool_name", "border").alias("tool_name"), F.min_by("action", "border").alias("action"),
         F.min_by("status", "border").alias("status"), F.sum("calls").alias("calls"), F.min_by("first_step", "border").alias("first_step"), F.max_by("last_step", "border").alias("last_step"), F.min("started_us").alias("started_us"), F.max("ended_us").alias("ended_us"),
     )
-    columns = ["run_id", "first_call_id", "last_call_id", "tool_name", "action", "status", "calls", "first_step", "last_step", "started_us", "ended_us"]
-    out = inner.select(columns).unionByName(grouped.select(columns))
-    return out.select(*columns[:-2], F.timestamp_micros("started_us").alias("started_at"), F.round((F.col("ended_us") - F.col("started_us")) / 1e6, 6).alias("duration_s"))
+    return _finished(inner.select(_COLUMNS).unionByName(grouped.select(_COLUMNS)))
+
+
+_COLUMNS = ["run_id", "first_call_id", "last_call_id", "tool_name", "action", "status", "calls", "first_step", "last_step", "started_us", "ended_us"]
+
+
+def _collapse_stretches(calls: DataFrame, least: float, max_gap_us: int | None) -> DataFrame:
+    """Runs by agglomeration over whole stretches: nothing merges across a change of tool or status, or a gap."""
+    place = ["step_idx", "call_idx", "call_id", "s"]
+    w = W.partitionBy("run_id").orderBy(*place)
+    copy = F.col("call_id").isNotNull() & F.coalesce(F.col("call_id") == F.lag("call_id").over(w), F.lit(False))
+    once = calls.withColumn("copy", copy).where("not copy")
+    same = F.lag("run_id").over(w).isNotNull() & F.col("tool_name").eqNullSafe(F.lag("tool_name").over(w)) & F.col("status").eqNullSafe(F.lag("status").over(w))
+    if max_gap_us is not None:
+        same = same & F.coalesce(F.col("s") - F.lag("e").over(w) <= max_gap_us, F.lit(True))
+    placed = once.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("stretch", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("at", F.row_number().over(w))
+
+    def runs(stretch: pa.Table) -> pa.Table:
+        x = stretch.sort_by("at").to_pylist()
+        found = kernel.agglomerate([0] * len(x), [kernel.canonical(r["action"]) for r in x], [r["s"] for r in x], [r["e"] for r in x], least, max_gap_us)
+        rows = []
+        for a, b in found:
+            some = x[a : b + 1]
+            begun, ended = ([r[c] for r in some if r[c] is not None] for c in "se")
+            rows.append({"run_id": x[a]["run_id"], "first_call_id": x[a]["call_id"], "last_call_id": x[b]["call_id"], "tool_name": x[a]["tool_name"], "action": x[a]["action"], "status": x[a]["status"], "calls": len(some), "first_step": x[a]["step_idx"], "last_step": x[b]["step_idx"], "started_us": min(begun, default=None), "ended_us": max(ended, default=None)})
+        return pa.Table.from_pylist(rows, _RUN)
+
+    return placed.groupBy("run_id", "stretch").applyInArrow(runs, _OUT.split(", part ")[0]).select(_COLUMNS)
+
+
+_RUN = pa.schema([("run_id", pa.string()), ("first_call_id", pa.int64()), ("last_call_id", pa.int64()), ("tool_name", pa.string()), ("action", pa.string()), ("status", pa.string()), ("calls", pa.int64()), ("first_step", pa.int32()), ("last_step", pa.int32()), ("started_us", pa.int64()), ("ended_us", pa.int64())])
+
+
+def _finished(out: DataFrame) -> DataFrame:
+    return out.select(*_COLUMNS[:-2], F.timestamp_micros("started_us").alias("started_at"), F.round((F.col("ended_us") - F.col("started_us")) / 1e6, 6).alias("duration_s"))

@@ -55,3 +55,19 @@ def test_any_partitioning_gives_the_plain_grouping(spark, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == want
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+@pytest.mark.parametrize("batch", [2, 10_000])
+def test_nearly_equal_calls_merge_whatever_the_batches_and_partitions(spark, partitions, batch):
+    rows = [("r", i, 0, i, "sh", f"grep -n word file{i % 3 if i < 60 else 0} dir", "ok" if i != 90 else "bad", None, 0.5) for i in range(120)]
+    df = spark.createDataFrame([*rows, rows[5]], "run_id string, step_idx int, call_idx int, call_id long, tool_name string, action string, status string, started_at timestamp, execution_time double")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = sorted((r["first_call_id"], r["last_call_id"], r["calls"]) for r in event_runs.collapse(df, 0.7).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == [(0, 89, 90), (90, 90, 1), (91, 119, 29)]
