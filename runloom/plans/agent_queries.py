@@ -284,7 +284,16 @@ _NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '\b(a|a
 
 @query(f"""SELECT doc_id, CASE WHEN {_NORM.format("title")} = {_NORM.format("regexp_replace(string_split(text, chr(10))[1], '^#+ *', '')")} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM documents WHERE title IS NOT NULL AND lang = 'en' AND regexp_full_match(title, '[ -~]*')""")
 def exact_match(spark, d):
-    x = table(spark, d, "documents").where("title is not null and lang = 'en'").where(F.col("title").rlike("^[ -~]*$"))
+    return _title_match(table(spark, d, "documents").where("title is not null and lang = 'en'").where(F.col("title").rlike("^[ -~]*$")))
+
+
+@query()
+def exact_match_titles(spark, d):
+    """All titled documents, whatever their language and letters; without SQL, as engines may lower letters beyond ASCII differently."""
+    return _title_match(table(spark, d, "documents").where("title is not null"))
+
+
+def _title_match(x):
     head = F.regexp_replace(F.get(F.split("text", "\n", -1), F.lit(0)), "^#+ *", "")
     return x.select("doc_id", grading.exact_match(F.col("title"), F.array(head)).alias("score"))
 
