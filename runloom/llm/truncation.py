@@ -12,6 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runloom.session import checkpoint
@@ -28,22 +29,22 @@ REMARK = r"\s*<NOTE>[^<]*</NOTE>\s*$"
 
 @dataclass(frozen=True)
 class TruncationParams:
-    """rare: a word is rare below so many occurrences a text. support: occurrences that a trigram's rate needs.
-    least_ends: ends that a trigram
-    of words needs to speak for itself. usual: rate of ends from which
-    a trigram is a usual end. rate: share of a trigram's occurrences that are ends, below which an end is no end; *_rate: the same after an
-    ellipsis, and after a marker in words. pile: least texts of one source and equal length for a length limit, of
-    which pile_share are cut off by their trigrams."""
+    """rare: a word is rare below so many occurrences a text, or beyond the ``vocabulary`` most frequent words of its field.
+    support: occurrences that a trigram's rate needs. least_ends: ends that a trigram of words needs to speak for itself.
+    usual: rate of ends from which a trigram is a usual end. rate: share of a trigram's occurrences that are ends, below
+    which an end is no end; *_rate: the same after an ellipsis, and after a marker in words.
+
+    The rates were read off the counts of sf0.1, where cuts end at 0.0355 and below and usual ends begin at 0.037; an
+    ellipsis or a marker stands behind whole texts too, which end at 0.2 and more, and at 0.6 and more."""
 
     rare: float = 0.02
+    vocabulary: int = 20_000
     support: int = 20
     usual: float = 0.05
     least_ends: int = 3
-    rate: float = 0.018
+    rate: float = 0.036
     ellipsis_rate: float = 0.12
     marker_rate: float = 0.5
-    pile: int = 5
-    pile_share: float = 0.5
 
 
 def _shape(t: Column) -> Column:
@@ -67,10 +68,6 @@ def _pack(*ids: Column) -> Column:
     return out
 
 
-#: Characters at either end of a text in which its first or last tokens are looked for; the whole text is read where these are too few.
-NEAR = 48
-
-
 def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
@@ -81,12 +78,14 @@ def _kind(first: Column) -> Column:
 
 
 def _body(df: DataFrame) -> DataFrame:
-    """``df`` with body (text without blanks, remarks and markers at its end) and marker (3 a lost character, 2 in words, 1 an ellipsis, 0 none)."""
+    """``df`` with body (text without blanks, remarks and markers at its end) and marker (3 a lost character, 2 in words, 1 an ellipsis, 0 none).
+
+    A marker in words is one bracket of up to 40 characters before and after its word; a longer one is part of the text."""
     own = F.rtrim(F.when(F.rtrim("text").endswith("</NOTE>"), F.regexp_replace("text", REMARK, "")).otherwise(F.col("text")))
-    out = df.select("field", "record_id", "source", F.octet_length("text").alias("bytes"), own.alias("own")).withColumn("end", F.right("own", F.lit(100)))
+    out = df.select("field", "record_id", "source", own.alias("own")).withColumn("end", F.right("own", F.lit(128)))
     out = out.withColumn("found", F.when(F.col("end").rlike(r"[\])>…]$|\uFFFD\s*$|\.\.\.$"), F.regexp_extract("end", MARKER, 0)).otherwise(""))
     marker = F.when(F.col("found") == "", 0).when(F.startswith("found", F.lit("\ufffd")), 3).when(F.trim("found").isin("...", "…"), 1).otherwise(2)
-    return out.select("field", "record_id", "source", "bytes", marker.alias("marker"), F.substring("own", F.lit(1), F.length("own") - F.length("found")).alias("body"))
+    return out.select("field", "record_id", "source", marker.alias("marker"), F.substring("own", F.lit(1), F.length("own") - F.length("found")).alias("body"))
 
 
 def texts(turns: DataFrame | None, tool_results: DataFrame | None) -> DataFrame:
@@ -101,23 +100,28 @@ def texts(turns: DataFrame | None, tool_results: DataFrame | None) -> DataFrame:
 
 
 def find_truncated(df: DataFrame, params: TruncationParams = TruncationParams()) -> DataFrame:
-    """Rows of ``df`` (field, record_id, source, text, any others ignored) judged: field, record_id, source, ends_at_rate, at_limit, truncated.
+    """The ends of ``df`` (field, record_id, source, text, any others ignored) judged: field, record_id, source, ends_at_rate, truncated.
 
-    One row per row of ``df`` with a text; rows with null or blank text have none. Equal rows are judged alike. A null
-    source counts as a source of its own. A text that ends in U+FFFD has lost its last character, whatever else ends
-    so. With few texts, trigrams lack the support that a verdict needs and
-    shorter contexts decide. An empty table gives an empty result.
+    One row per record and end: copies with equal ends have one, null or blank texts none. A null source counts as a
+    source of its own. A text that ends in U+FFFD has lost its last character, whatever else ends so; one that is nothing
+    but a marker or U+FFFD has no trigram, and is cut only for U+FFFD. With few texts, trigrams lack the support that a
+    verdict needs and shorter contexts decide. An empty table gives an empty result.
+
+    Two passes over the texts: one for the frequent words, one in which the trigrams inside are counted and the last ones kept with
+    their records; everything else works on what that pass leaves.
     """
     p = params
     base = _body(df)
     start = F.lit("\x02")
 
-    # frequent words: at most (mean tokens of a text) / rare of them a field, whatever the number of texts
-    words_of = base.select("field", F.explode(F.regexp_extract_all("body", F.lit(WORD), F.lit(0))).alias("w")).groupBy("field", "w").count()
+    # the most frequent words, a bounded number a field
+    words_of = base.select("field", F.explode(F.regexp_extract_all("body", F.lit(WORD), F.lit(0))).alias("w")).select("field", F.xxhash64("w").alias("h"), _shape(F.col("w")).alias("shape"))
+    words_of = words_of.where(F.col("shape").isin(1, 2, 6)).groupBy("field", "h").count()
     n_texts = base.groupBy("field").agg(F.count("*").alias("n"))
-    frequent = words_of.join(F.broadcast(n_texts), "field").where((F.col("count") >= F.greatest(F.lit(5), p.rare * F.col("n"))) & _shape(F.col("w")).isin(1, 2, 6))
+    frequent = words_of.join(F.broadcast(n_texts), "field").where(F.col("count") >= F.greatest(F.lit(5), p.rare * F.col("n")))
+    place = F.row_number().over(W.partitionBy("field").orderBy(F.desc("count"), "h"))
     vocab: dict[str, list[int]] = {}
-    for field, h in frequent.select("field", F.xxhash64("w").alias("h")).collect():
+    for field, h in frequent.withColumn("place", place).where(F.col("place") <= p.vocabulary).select("field", "h").collect():
         vocab.setdefault(field, []).append(h)
 
     def frequent_word(h: str) -> Column:
@@ -134,11 +138,14 @@ def find_truncated(df: DataFrame, params: TruncationParams = TruncationParams())
         keep = [c for c in x.columns if c[0] not in "abchsf" or len(c) > 2]
         return x.select(*keep, w.alias("w"), _pack(F.col("sa"), F.col("sb"), F.col("sc")).alias("s"), (~F.col("fc") & F.col("sc").isin(1, 2, 6)).alias("rare"))
 
-    # no filter here: it would be pushed below and split every text twice; texts without a token explode to nothing
-    tok = base.select("field", F.concat(F.array(start, start), _tokens(F.col("body"))).alias("q")).select("field", "q", (F.size("q") - 2).alias("n"), _kind(F.slice("q", F.lit(3), F.lit(4))).alias("kind"))
+    # no filter here: it would be pushed below and split every text twice; texts without a token have their marker alone
+    tok = base.select("field", "record_id", "source", "marker", F.concat(F.array(start, start), _tokens(F.col("body"))).alias("q")).select("field", "record_id", "source", "marker", "q", F.greatest(F.size("q") - 2, F.lit(1)).alias("n"), _kind(F.slice("q", F.lit(3), F.lit(4))).alias("kind"))
     zipped = F.arrays_zip(F.slice("q", F.lit(1), F.col("n")), F.slice("q", F.lit(2), F.col("n")), F.slice("q", F.lit(3), F.col("n")))
-    exploded = tok.select("field", "kind", "n", F.posexplode(zipped).alias("at", "g")).select("field", "kind", F.col("g.0").alias("a"), F.col("g.1").alias("b"), F.col("g.2").alias("c"), (F.col("at") == F.col("n") - 1).cast("long").alias("last"))
-    words = checkpoint(numbered(exploded).groupBy("field", "kind", "w", "s", "rare").agg(F.sum("last").alias("ends"), F.count("*").alias("all")))
+    last = F.col("at") == F.col("n") - 1
+    of_last = [F.when(last, F.col(c)).alias(c) for c in ("record_id", "source", "marker")]
+    exploded = tok.select("field", "record_id", "source", "marker", "kind", "n", F.posexplode(zipped).alias("at", "g")).select("field", *of_last, "kind", F.col("g.0").alias("a"), F.col("g.1").alias("b"), F.coalesce("g.2", start).alias("c"), last.alias("last"))
+    counted = checkpoint(numbered(exploded).groupBy("field", "kind", "w", "s", "rare", "last", "record_id", "source", "marker").agg(F.count("*").alias("n")))
+    words = counted.groupBy("field", "kind", "w", "s", "rare").agg(F.sum(F.when(F.col("last"), F.col("n")).otherwise(0)).alias("ends"), F.sum("n").alias("all"))
 
     # Ends in a frequent word or sign that often stand at the end account for themselves. What shapes say about a rare last
     # word, which may be a cut one, leaves them out.
@@ -171,21 +178,14 @@ def find_truncated(df: DataFrame, params: TruncationParams = TruncationParams())
     others = rate_at(lambda c: F.coalesce(*[F.when(~x[c]["own"], x[c]["rate"]) for x in contexts[:3]], F.coalesce(*contexts)[c]["rate"]))
     ends = ends.select("field", "kind", "w", "s", "rare", others.alias("others"), marked.alias("marked"))
 
-    # enough tokens near the end (the first of these may be a part of one) or else all
-    near, far, whole = _tokens(F.left("body", F.lit(NEAR))), _tokens(F.right("body", F.lit(NEAR))), _tokens(F.col("body"))
-    last = base.select("field", "record_id", "source", "bytes", "marker", "body", near.alias("near"), far.alias("far"))
-    last = last.select("field", "record_id", "source", "bytes", "marker", _kind(F.when(F.size("near") > 4, F.col("near")).otherwise(whole)).alias("kind"), F.when(F.size("far") > 3, F.col("far")).otherwise(whole).alias("far"))
-    last = last.select("field", "record_id", "source", "bytes", "marker", "kind", *[F.coalesce(F.get("far", F.size("far") - i), start).alias(c) for c, i in (("a", 3), ("b", 2), ("c", 1))])
-    last = numbered(last).select("field", "record_id", "source", "bytes", "marker", "kind", "w", "s", "rare")
     least = F.when(F.col("marker") == 2, p.marker_rate).when(F.col("marker") == 1, p.ellipsis_rate).otherwise(p.rate)
-    judged = last.join(ends, ["field", "kind", "w", "s", "rare"], "left").withColumn("rate", F.when(F.col("marker") == 0, F.col("others")).otherwise(F.col("marked")))
-    judged = judged.select("field", "record_id", "source", "bytes", "rate", F.coalesce((F.col("marker") == 3) | (F.col("rate") < least), F.lit(False)).alias("cut"))
-    judged = checkpoint(judged)
-    # texts of a source that pile up at one length, most of them cut there: a limit, and all of them reached it
-    limits = judged.groupBy("field", "source", "bytes").agg(F.count("*").alias("n"), F.avg(F.col("cut").cast("double")).alias("share")).where((F.col("n") >= p.pile) & (F.col("share") >= p.pile_share))
-    limits = limits.select(F.col("field").alias("lf"), F.col("source").alias("ls"), F.col("bytes").alias("lb"))
-    out = judged.join(limits, (F.col("lf") == F.col("field")) & F.col("ls").eqNullSafe(F.col("source")) & (F.col("lb") == F.col("bytes")), "left")
-    return out.select("field", "record_id", "source", F.col("rate").alias("ends_at_rate"), F.col("lf").isNotNull().alias("at_limit"), (F.col("cut") | F.col("lf").isNotNull()).alias("truncated"))
+    judged = counted.where("last").join(ends, ["field", "kind", "w", "s", "rare"], "left").withColumn("rate", F.when(F.col("marker") == 0, F.col("others")).otherwise(F.col("marked")))
+    cut = (F.col("marker") == 3) | ((F.col("rate") < least) & (F.pmod("s", F.lit(1 << 20)) != EMPTY))
+    return judged.select("field", "record_id", "source", F.col("rate").alias("ends_at_rate"), F.coalesce(cut, F.lit(False)).alias("truncated"))
+
+
+#: The shape of the sign that stands before a text: the last token of a text without tokens.
+EMPTY = 64 + 2
 
 
 def report(judged: DataFrame) -> DataFrame:

@@ -24,8 +24,9 @@ def test_cut_texts_are_told_from_whole_ones(spark):
             text = text[:at] + rng.choice(["", "", " [output cut]", "..."])
             cut.add(i)
         elif source == "b" and len(text) > 215:
-            text = text[:215]
-            limit.add(i)
+            text = text[:215].rstrip()
+            if text[-1] not in ".?":  # a text that a limit cut at the end of a sentence looks whole
+                limit.add(i)
         rows.append(("observation", i, source, text))
     rows += [("observation", 1, rows[1][2], rows[1][3]), ("observation", 5000, "a", None), ("observation", 5001, None, "  ")]
     df = spark.createDataFrame(rows, "field string, record_id long, source string, text string").where("trim(text) <> ''")
@@ -59,3 +60,23 @@ def test_a_rare_layout_does_not_acquit_its_only_cut(spark):
     rows.append(("response", 3000, "a", f"# 1: 2 {sentence(rng)} <tool"))
     df = spark.createDataFrame(rows, "field string, record_id long, source string, text string")
     assert [r["record_id"] for r in truncation.find_truncated(df).where("truncated").collect()] == [3000]
+
+
+def test_whole_texts_of_one_length_are_no_cuts(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(1500):
+        text = " ".join(sentence(rng) for _ in range(rng.randrange(2, 7)))
+        if i % 3 == 0:  # as long as the limit, with their own end
+            text = (text * 3)[:300].rsplit(" ", 2)[0]
+            text = text + " " + "f" * (298 - len(text)) + "."
+        rows.append(("response", i, "a", text))
+    df = spark.createDataFrame(rows, "field string, record_id long, source string, text string")
+    assert truncation.find_truncated(df).where("truncated").count() == 0
+
+
+def test_the_vocabulary_is_bounded(spark):
+    rows = [("response", i, "a", f"{' '.join(NOUNS)} word{i} ends here.") for i in range(200)]
+    df = spark.createDataFrame(rows, "field string, record_id long, source string, text string")
+    some = truncation.find_truncated(df, truncation.TruncationParams(vocabulary=3)).collect()
+    assert len(some) == 200 and not any(r["truncated"] for r in some)
