@@ -16,129 +16,135 @@ from runloom.session import checkpoint
 
 by_value(kernel, sys.modules[__name__])
 
-_OUT = "run_id string, first_call_id long, last_call_id long, tool_name string, action string, status string, calls long, first_step int, last_step int, started_us long, ended_us long, part int, at_start boolean, at_end boolean, key string"
-
+_NAMES = ["run_id", "first_call_id", "last_call_id", "tool_name", "action", "status", "calls", "first_step", "last_step", "started_us", "ended_us"]
+_NODE = pa.schema([(n, t) for n, t in zip(_NAMES, [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()])])
+_DDL = "run_id string, first_call_id long, last_call_id long, tool_name string, action string, status string, calls long, first_step int, last_step int, started_us long, ended_us long"
+#: A node of the linked list is a list in the order of _NAMES: a call, or a run of calls merged into its first.
+RUN, FIRST, LAST, TOOL, ACTION, STATUS, CALLS, FIRST_STEP, LAST_STEP, START, END = range(len(_NAMES))
+
+
+def _absorb(into: list, other: list) -> None:
+    into[LAST], into[LAST_STEP] = other[LAST], other[LAST_STEP]
+    into[CALLS] += other[CALLS]
+    for c, of in ((START, min), (END, max)):
+        if other[c] is not None:
+            into[c] = other[c] if into[c] is None else of(into[c], other[c])
+
+
+def _merge(nodes: list[list], least: float, max_gap_us: int | None) -> list[list]:
+    """The runs of one stretch: nodes of one run of the agent, tool and status, in one linked list with one heap."""
+    if len(nodes) < 2:
+        return nodes
+    actions = [(kernel.canonical(n[ACTION]), n[ACTION] or "") for n in nodes]
+    out = []
+    for a, b in kernel.agglomerate([0] * len(nodes), actions, [n[START] for n in nodes], [n[END] for n in nodes], least, max_gap_us):
+        for n in nodes[a + 1 : b + 1]:
+            _absorb(nodes[a], n)
+        out.append(nodes[a])
+    return out
+
+
+def _wall(node: list, least: float) -> tuple:
+    """What neighbours have to share to be merged ever, however others merge. From SAME on, equal canonical words are part of it."""
+    return (node[RUN], node[TOOL], node[STATUS], kernel.canonical(node[ACTION]) if least >= kernel.SAME else None)
+
+
+def _apart(a: list, b: list, max_gap_us: int | None) -> bool:
+    return max_gap_us is not None and a[END] is not None and b[START] is not None and b[START] - a[END] > max_gap_us
+
+
+def _stretches(least: float, max_gap_us: int | None):
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Over one sorted partition: the runs of every stretch between two walls. The partition's first and last stretch may go on
+        beyond its border; their nodes are given as they are, with the place (1 first, 2 last, 3 both) they stand at, and their wall."""
+        schema = _NODE.append(pa.field("part", pa.int32())).append(pa.field("place", pa.int32())).append(pa.field("wall", pa.string())).append(pa.field("at", pa.int64()))
+        rows: list[tuple] = []
+        open_: list[list] = []  # the stretch that is being read
+        wall = None
+        first, part, at = True, 0, 0
+
+        def given(nodes: list[list], place: int) -> None:
+            nonlocal at
+            key = "\x01".join(repr(x) for x in wall) if place else None
+            for n in nodes:
+                rows.append((*n, part, place, key, at))
+                at += 1
 
-def _runs(least: float, max_gap_us: int | None):
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over one sorted partition. The last run of a batch is carried into the next; the partition's first and last run are marked."""
-        carried: list[dict] = []  # the open run, as one node
-        first = True
-        previous = None
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*rows)) if rows else [()] * len(schema)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-        def close(nodes: list[dict], part_end: bool):
-            nonlocal first
-            for n in nodes:
-                n["at_start"], first = first, False
-                n["at_end"] = False
-            if part_end and nodes:
-                nodes[-1]["at_end"] = True
-            for n in nodes:
-                n["key"] = "\x01".join(n["words"]) if n["at_start"] or n["at_end"] else None
-            return nodes
-
-        def merged(nodes: list[dict]) -> list[dict]:
-            out = []
-            found = kernel.agglomerate([(n["run_id"], n["tool_name"], n["status"]) for n in nodes], [n["words"] for n in nodes], [n["started_us"] for n in nodes], [n["ended_us"] for n in nodes], least, max_gap_us)
-            for a, b in found:
-                n = dict(nodes[a])
-                if b > a:
-                    some = nodes[a : b + 1]
-                    begun = [x["started_us"] for x in some if x["started_us"] is not None]
-                    ended = [x["ended_us"] for x in some if x["ended_us"] is not None]
-                    n |= {"last_call_id": nodes[b]["last_call_id"], "last_step": nodes[b]["last_step"], "calls": sum(x["calls"] for x in some), "started_us": min(begun, default=None), "ended_us": max(ended, default=None)}
-                out.append(n)
-            return out
-
-        def batch(nodes: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{f.name: n[f.name] for f in schema} for n in nodes], schema)
-
-        schema = pa.schema([("run_id", pa.string()), ("first_call_id", pa.int64()), ("last_call_id", pa.int64()), ("tool_name", pa.string()), ("action", pa.string()), ("status", pa.string()), ("calls", pa.int64()), ("first_step", pa.int32()), ("last_step", pa.int32()), ("started_us", pa.int64()), ("ended_us", pa.int64()), ("part", pa.int32()), ("at_start", pa.bool_()), ("at_end", pa.bool_()), ("key", pa.string())])
         for b in batches:
-            nodes = carried
             for run, step, call, tool, action, status, start, end, part in zip(*(c.to_pylist() for c in b.columns)):
-                if call is not None and (run, call) == previous:
-                    continue  # a copy of the call before
-                previous = (run, call)
-                nodes.append({"run_id": run, "first_call_id": call, "last_call_id": call, "tool_name": tool, "action": action, "status": status, "calls": 1, "first_step": step, "last_step": step, "started_us": start, "ended_us": end, "part": part, "words": kernel.canonical(action)})
-            nodes = merged(nodes)
-            carried = nodes[-1:]
-            yield batch(close(nodes[:-1], False))
-        if carried:
-            yield batch(close(carried, True))
-
-    return runs
-
-
-def collapse(tool_results: DataFrame, min_similarity: float = 1.0, max_gap_s: float | None = None) -> DataFrame:
+                node = [run, call, call, tool, action, status, 1, step, step, start, end]
+                key = _wall(node, least)
+                if open_ and key == wall and not _apart(open_[-1], node, max_gap_us):
+                    if (open_[-1][ACTION] or "") == (action or ""):
+                        _absorb(open_[-1], node)  # nothing is more similar, so nothing could be merged before
+                    else:
+                        open_.append(node)
+                    continue
+                if open_:
+                    given(open_ if first else _merge(open_, least, max_gap_us), int(first))
+                    first = False
+                open_, wall = [node], key
+            if rows:
+                yield batch()
+        if open_:
+            given(open_, 3 if first else 2)
+        if rows:
+            yield batch()
+
+    return stretches
+
+
+def collapse(tool_results: DataFrame, min_similarity: float = kernel.SAME, max_gap_s: float | None = None) -> DataFrame:
     """One row per run of neighbouring calls: run_id, first/last_call_id, tool_name, action, status, calls, first/last_step, started_at, duration_s.
 
-    Order in a run of the agent is (step_idx, call_idx, call_id), nulls first; copies of a call_id count once. Neighbours
-    with equal tool_name and status merge by adjacent agglomeration while the similarity of their actions, without
-    spelling and values made afresh, is at least ``min_similarity`` (1: the same action) and the time between them at
-    most ``max_gap_s`` (None: any; a missing time is no gap). Null and blank actions are equal, as are null tools or
-    states. duration_s is from the first start to the last start plus execution_time (null: 0). Rows without run_id
-    belong to no run and have no event. An empty table gives an empty result.
-
-    Calls are range-partitioned by their place, so one agent run of any length spreads over many tasks; only the first
-    and the last event of each partition (two rows each) are then joined across the partitions' borders. That is exact for
-    equal actions only; below 1 a stretch of neighbours of one tool, one status and no gap is merged whole by one task.
+    Order in a run of the agent is (step_idx, call_idx, call_id), nulls first; copies of a call_id at one place count once, the
+    earliest started. Neighbours with equal tool_name and status merge by adjacent agglomeration, the most similar first,
+    while the similarity of their first actions is at least ``min_similarity`` and the time between them at most
+    ``max_gap_s`` (None: any; a missing time is no gap). At SAME they differ at most in how they are written and in values
+    made afresh, at 1 not at all. Null and blank actions are equal, as are null tools or states. duration_s is from the
+    first start to the last start plus execution_time (null: 0). Rows without run_id belong to no run and have no event.
+    An empty table gives an empty result.
+
+    Calls are range-partitioned by their place, so one agent run of any length spreads over many tasks. Nothing ever merges
+    across a wall: a change of run, tool or status, a gap, and from SAME on another action. Stretches between walls are
+    therefore merged each for itself, with the result of one linked list over the whole run; those that lie across a
+    partition's border meet in one task, equal neighbours merged before. Below SAME such a stretch is as long as a tool is
+    called in a row with one status.
     """
     start = F.unix_micros(F.col("started_at").cast("timestamp"))
+    place = ["run_id", "step_idx", "call_idx", "call_id"]
     calls = tool_results.where("run_id is not null").select(
         "run_id", F.col("step_idx").cast("int").alias("step_idx"), F.col("call_idx").cast("int").alias("call_idx"), F.col("call_id").cast("long").alias("call_id"), "tool_name", "action", "status",
         start.alias("s"), (start + F.coalesce(F.col("execution_time") * 1e6, F.lit(0.0)).cast("long")).alias("e"),
     )
-    if min_similarity < 1:
-        return _finished(_collapse_stretches(calls, min_similarity, None if max_gap_s is None else int(max_gap_s * 1e6)))
+    # copies of a call go before anything moves: each task passes on one
+    own = F.when(F.col("call_id").isNull(), F.monotonically_increasing_id())
+    copy = F.row_number().over(W.partitionBy(*place, "own").orderBy("s", "e", "action"))
+    calls = calls.withColumn("own", own).withColumn("copy", copy).where("copy = 1").drop("own", "copy")
     n = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = calls.repartitionByRange(n, "run_id", "step_idx", "call_idx", "call_id").sortWithinPartitions("run_id", "step_idx", "call_idx", "call_id", "s")
+    placed = calls.repartitionByRange(n, *place).sortWithinPartitions(*place, "s")
     placed = placed.select("run_id", "step_idx", "call_id", "tool_name", "action", "status", "s", "e", F.spark_partition_id().alias("part"))
-    found = checkpoint(placed.mapInArrow(_runs(min_similarity, None if max_gap_s is None else int(max_gap_s * 1e6)), _OUT))
-
-    inner = found.where("not at_start and not at_end")
-    # at most two rows a partition, whatever the number of calls
-    edges = found.where("at_start or at_end").withColumn("border", F.row_number().over(W.orderBy("part", "at_end", "started_us")))
-    w = W.partitionBy("run_id").orderBy("border")
-    gap = True if max_gap_s is None else F.coalesce(F.col("started_us") - F.lag("ended_us").over(w) <= max_gap_s * 1e6, F.lit(True))
-    # across a border, events of one action merge (similarity 1)
-    joins = F.col("at_start") & F.lag("at_end").over(w) & F.col("tool_name").eqNullSafe(F.lag("tool_name").over(w)) & F.col("status").eqNullSafe(F.lag("status").over(w)) & (F.col("key") == F.lag("key").over(w)) & gap
-    grouped = edges.withColumn("g", F.sum(F.when(joins, 0).otherwise(1)).over(w)).groupBy("run_id", "g").agg(
-        F.min_by("first_call_id", "border").alias("first_call_id"), F.max_by("last_call_id", "border").alias("last_call_id"), F.min_by("tool_name", "border").alias("tool_name"), F.min_by("action", "border").alias("action"),
-        F.min_by("status", "border").alias("status"), F.sum("calls").alias("calls"), F.min_by("first_step", "border").alias("first_step"), F.max_by("last_step", "border").alias("last_step"), F.min("started_us").alias("started_us"), F.max("ended_us").alias("ended_us"),
-    )
-    return _finished(inner.select(_COLUMNS).unionByName(grouped.select(_COLUMNS)))
-
-
-_COLUMNS = ["run_id", "first_call_id", "last_call_id", "tool_name", "action", "status", "calls", "first_step", "last_step", "started_us", "ended_us"]
-
-
-def _collapse_stretches(calls: DataFrame, least: float, max_gap_us: int | None) -> DataFrame:
-    """Runs by agglomeration over whole stretches: nothing merges across a change of tool or status, or a gap."""
-    place = ["step_idx", "call_idx", "call_id", "s"]
-    w = W.partitionBy("run_id").orderBy(*place)
-    copy = F.col("call_id").isNotNull() & F.coalesce(F.col("call_id") == F.lag("call_id").over(w), F.lit(False))
-    once = calls.withColumn("copy", copy).where("not copy")
-    same = F.lag("run_id").over(w).isNotNull() & F.col("tool_name").eqNullSafe(F.lag("tool_name").over(w)) & F.col("status").eqNullSafe(F.lag("status").over(w))
-    if max_gap_us is not None:
-        same = same & F.coalesce(F.col("s") - F.lag("e").over(w) <= max_gap_us, F.lit(True))
-    placed = once.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("stretch", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("at", F.row_number().over(w))
-
-    def runs(stretch: pa.Table) -> pa.Table:
-        x = stretch.sort_by("at").to_pylist()
-        found = kernel.agglomerate([0] * len(x), [kernel.canonical(r["action"]) for r in x], [r["s"] for r in x], [r["e"] for r in x], least, max_gap_us)
-        rows = []
-        for a, b in found:
-            some = x[a : b + 1]
-            begun, ended = ([r[c] for r in some if r[c] is not None] for c in "se")
-            rows.append({"run_id": x[a]["run_id"], "first_call_id": x[a]["call_id"], "last_call_id": x[b]["call_id"], "tool_name": x[a]["tool_name"], "action": x[a]["action"], "status": x[a]["status"], "calls": len(some), "first_step": x[a]["step_idx"], "last_step": x[b]["step_idx"], "started_us": min(begun, default=None), "ended_us": max(ended, default=None)})
-        return pa.Table.from_pylist(rows, _RUN)
-
-    return placed.groupBy("run_id", "stretch").applyInArrow(runs, _OUT.split(", part ")[0]).select(_COLUMNS)
-
-
-_RUN = pa.schema([("run_id", pa.string()), ("first_call_id", pa.int64()), ("last_call_id", pa.int64()), ("tool_name", pa.string()), ("action", pa.string()), ("status", pa.string()), ("calls", pa.int64()), ("first_step", pa.int32()), ("last_step", pa.int32()), ("started_us", pa.int64()), ("ended_us", pa.int64())])
-
-
-def _finished(out: DataFrame) -> DataFrame:
-    return out.select(*_COLUMNS[:-2], F.timestamp_micros("started_us").alias("started_at"), F.round((F.col("ended_us") - F.col("started_us")) / 1e6, 6).alias("duration_s"))
+    gap = None if max_gap_s is None else int(max_gap_s * 1e6)
+    found = checkpoint(placed.mapInArrow(_stretches(min_similarity, gap), f"{_DDL}, part int, place int, wall string, at long"))
+
+    # what stands at a border: one row per partition and place, at most two a partition
+    edges = found.where("place > 0").groupBy("part", "place").agg(F.min("wall").alias("wall"), F.min("at").alias("at"), F.max("ended_us").alias("e"), F.min("started_us").alias("s"))
+    w = W.orderBy("part", "at")
+    goes_on = F.col("place").isin(1, 3) & F.lag("place").over(w).isin(2, 3) & (F.col("wall") == F.lag("wall").over(w))
+    if gap is not None:
+        goes_on = goes_on & F.coalesce(F.col("s") - F.lag("e").over(w) <= gap, F.lit(True))
+    # a first stretch that is not the last is followed by the last one, which begins anew
+    numbered = edges.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("stretch", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0))).select("part", "place", "stretch")
+    across = found.where("place > 0").join(F.broadcast(numbered), ["part", "place"])
+
+    def whole(stretch: pa.Table) -> pa.Table:
+        nodes = [list(r) for r in zip(*(c.to_pylist() for c in stretch.sort_by([("part", "ascending"), ("at", "ascending")]).select(_NAMES).columns))]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*_merge(nodes, min_similarity, gap)), _NODE)], schema=_NODE)
+
+    out = found.where("place = 0").select(_NAMES).unionByName(across.groupBy("stretch").applyInArrow(whole, _DDL))
+    return out.select(*_NAMES[:-2], F.timestamp_micros("started_us").alias("started_at"), F.round((F.col("ended_us") - F.col("started_us")) / 1e6, 6).alias("duration_s"))

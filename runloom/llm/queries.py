@@ -43,6 +43,11 @@ def p3_events(spark: SparkSession, d: str) -> DataFrame:
     return event_runs.collapse(table(spark, d, "tool_results"))
 
 
+def p3_near(spark: SparkSession, d: str) -> DataFrame:
+    """Calls as events, nearly equal ones together: seven in ten words, at most ten minutes apart."""
+    return event_runs.collapse(table(spark, d, "tool_results"), 0.7, 600.0)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold an evaluation item or a passage of it."""
     return leakage.find_leaks(spread(table(spark, d, "documents")), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
@@ -74,5 +79,5 @@ def p8_repair(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repair(spread(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_pack, p2_fill, p3_found, p3_events, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_repair)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_pack, p2_fill, p3_found, p3_events, p3_near, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_repair)}
 SQL: dict[str, str] = {}

@@ -83,15 +83,28 @@ def _ordered(command: list[str]) -> list[str]:
     return plain + [w for o in sorted(options) for w in o]
 
 
-def similarity(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """Share of equal words at equal places (Dice); 1 for equal actions, two empty ones included."""
-    if a == b:
+#: Similarity from which two actions are the same apart from how they are written and from values made afresh.
+SAME = 0.95
+
+
+def raw_words(action: str | None) -> tuple[str, ...]:
+    return tuple((action or "").split())
+
+
+def similarity(a: tuple[tuple[str, ...], str], b: tuple[tuple[str, ...], str]) -> float:
+    """Of two actions, each as (canonical words, text): 1 for equal texts; from SAME up to 1 where only the writing or values made
+    afresh differ, by the share of words that are equal as written; below SAME by the share of equal canonical words at equal places (Dice)."""
+    if a[1] == b[1]:
         return 1.0
-    n = sum(x == y for x, y in zip(a, b))
-    return 2.0 * n / (len(a) + len(b))
+    if a[0] == b[0]:
+        x, y = raw_words(a[1]), raw_words(b[1])
+        n = sum(p == q for p, q in zip(x, y))
+        return SAME + (1 - SAME) * 0.99 * (2.0 * n / (len(x) + len(y)) if x or y else 1.0)
+    n = sum(p == q for p, q in zip(a[0], b[0]))
+    return SAME * 0.99 * 2.0 * n / (len(a[0]) + len(b[0]))
 
 
-def agglomerate(groups: list, words: list[tuple[str, ...]], starts: list, ends: list, least: float, max_gap: float | None) -> list[tuple[int, int]]:
+def agglomerate(groups: list, actions: list[tuple[tuple[str, ...], str]], starts: list, ends: list, least: float, max_gap: float | None) -> list[tuple[int, int]]:
     """(first, last) index of each run after merging, again and again, the most similar neighbouring runs.
 
     Runs may merge when their groups (tool and status) are equal, their similarity is at least ``least`` and the time
@@ -112,7 +125,7 @@ def agglomerate(groups: list, words: list[tuple[str, ...]], starts: list, ends:
             a, b = ends[last[i]], starts[j]
             if a is not None and b is not None and b - a > max_gap:
                 return -1.0
-        s = similarity(words[i], words[j])
+        s = similarity(actions[i], actions[j])
         return s if s >= least else -1.0
 
     heap = [(-s, i, 0) for i in range(n) if (s := near(i)) >= 0]

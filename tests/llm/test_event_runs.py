@@ -25,11 +25,23 @@ def test_other(a, b):
 
 
 def test_most_similar_first():
-    words = [("a", "b", "c"), ("a", "b", "d"), ("a", "b", "d"), ("x", "y", "z")]
-    assert agglomerate([0] * 4, words, [0] * 4, [0] * 4, 0.6, None) == [(0, 2), (3, 3)]
-    assert agglomerate([0, 0, 1, 0], words, [0] * 4, [0] * 4, 0.6, None) == [(0, 1), (2, 2), (3, 3)]
-    assert agglomerate([0] * 3, [("a",)] * 3, [0, 10, 100], [1, 11, 101], 1.0, 20) == [(0, 1), (2, 2)]
-    assert similarity((), ()) == 1.0
+    actions = [(canonical(a), a) for a in ("a b c", "a b d", "a b d", "x y z")]
+    assert agglomerate([0] * 4, actions, [0] * 4, [0] * 4, 0.6, None) == [(0, 2), (3, 3)]
+    assert agglomerate([0, 0, 1, 0], actions, [0] * 4, [0] * 4, 0.6, None) == [(0, 1), (2, 2), (3, 3)]
+    assert agglomerate([0] * 3, [actions[0]] * 3, [0, 10, 100], [1, 11, 101], 1.0, 20) == [(0, 1), (2, 2)]
+    # the closest pair goes first: then the third is compared with the second's action no more
+    chain = [(canonical(a), a) for a in ("p q r s", "p q r t", "p q u t")]
+    assert agglomerate([0] * 3, chain, [0] * 3, [0] * 3, 0.7, None) == [(0, 1), (2, 2)]
+
+
+def test_similarity_ranks_equal_spelled_otherwise_and_other():
+    of = lambda a: (canonical(a), a or "")
+    assert similarity(of(""), of(None)) == 1.0 == similarity(of("a b"), of("a b"))
+    for a, b in SAME:
+        assert event_runs.kernel.SAME <= similarity(of(a), of(b)) <= 1.0
+    for a, b in OTHER:
+        assert similarity(of(a), of(b)) < event_runs.kernel.SAME
+    assert similarity(of("cat 'a' b c"), of('cat "a" b c')) > similarity(of("cat 'a' 'b' c"), of('cat "a" "b" c'))
 
 
 @pytest.mark.parametrize("parts", ["1", "7", "40"])
@@ -71,3 +83,27 @@ def test_nearly_equal_calls_merge_whatever_the_batches_and_partitions(spark, par
         for k, v in old.items():
             spark.conf.set(k, v)
     assert got == [(0, 89, 90), (90, 90, 1), (91, 119, 29)]
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_any_partitioning_gives_the_list_over_the_whole_run(spark, partitions):
+    """Similarities below the same action, gaps, and one run that holds nearly all rows."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(900):
+        action = " ".join(rng.choice("ab") for _ in range(4))
+        rows.append(("hot" if i < 800 else f"r{i % 7}", i, 0, i, "t", action, "ok" if rng.random() < 0.97 else "bad", 10 * i + rng.choice([0, 0, 0, 500]), 1.0))
+    names = "run_id string, step_idx int, call_idx int, call_id long, tool_name string, action string, status string, t long, execution_time double"
+    df = spark.createDataFrame(rows, names).selectExpr("*", "cast(timestamp_seconds(t) as timestamp_ntz) as started_at")
+    want = set()
+    for run, g in itertools.groupby(sorted(rows, key=lambda r: (r[0], r[1])), key=lambda r: r[0]):
+        g = list(g)
+        found = agglomerate([(r[4], r[6]) for r in g], [(canonical(r[5]), r[5]) for r in g], [r[7] for r in g], [r[7] + 1 for r in g], 0.7, 300)
+        want |= {(run, g[a][3], g[b][3], b - a + 1) for a, b in found}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {(r["run_id"], r["first_call_id"], r["last_call_id"], r["calls"]) for r in event_runs.collapse(df, 0.7, 300.0).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want
