@@ -290,7 +290,7 @@ def pack(hist: dict[int, int], capacity: int) -> list[Group]:
 
 
 def places(packing: list[Group]) -> np.ndarray:
-    """Rows (length, first rank, container of that rank, items of that length in a container, tokens used, by patterns) sorted
+    """Rows (length, first rank, container of that rank, items of that length in a container, tokens used, items of the container that patterns placed) sorted
     by length and rank: where the items of each length go.
 
     Items of one length are ranked from 0; a row holds for ranks up to the next row's, and as many as it says share a container."""
@@ -298,7 +298,7 @@ def places(packing: list[Group]) -> np.ndarray:
     for lengths, n, by in packing:
         used = sum(a * c for a, c in lengths.items())
         for length, c in lengths.items():
-            rows.append((length, n * c, base, c, used, by > 0))
+            rows.append((length, n * c, base, c, used, by))
         base += n
     a = np.array(rows, np.int64).reshape(-1, 6)
     a = a[np.argsort(a[:, 0], kind="stable")]

@@ -70,3 +70,12 @@ def test_items_with_copies_and_long_ones(spark):
         pieces = Counter((r["run_id"], r["segment_index"], r["piece"]) for r in own)
         assert pieces["r", 3, 0] == 40 and pieces["long", 0, 0] == 3
         assert max(r["piece"] for r in own if r["run_id"] == "r") == (1 if cap == 300 else 0)
+
+
+def test_report_counts_items_that_patterns_placed(spark):
+    rng = random.Random(3)
+    sizes = [min(2048, max(1, int(rng.lognormvariate(6, 0.8)))) for _ in range(3000)]
+    items = spark.createDataFrame([("r", i, n) for i, n in enumerate(sizes)], "run_id string, segment_index int, tokens long")
+    report = packing.fill_report(packing.pack(items, spark.createDataFrame([("a", 2048)], "container string, capacity int"))).first()
+    made = sum(n * by for _, n, by in pack_kernel.pack(Counter(sizes), 2048))
+    assert report["items"] == 3000 and report["pattern_share"] == round(made / 3000, 6) > 0.8
