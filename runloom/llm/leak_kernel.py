@@ -11,8 +11,16 @@ import numpy as np
 
 # Masks of weight 4 to 7 over spans of 6 to 14 tokens; a 1 is a position looked at.
 MASKS = ("1101100111", "11010011011", "1110010101001", "10110010010111", "111011101", "100110101111", "110100101", "1010011001", "100100111", "1011001")
-#: An item's token or seed counts as shared between items, and as no evidence, from this share of all items (two at least).
+#: A token counts as shared between items, and as no evidence, in more than this share of all items (and in more than two).
 COMMON_SHARE = 0.02
+#: Tokens in common order and distinct rare tokens among them from which an item, or a passage of it, has leaked. An item that
+#: has fewer of either has leaked where all of them are found.
+LEAST_TOKENS, LEAST_RARE = 20, 4
+
+
+def common_above(items: int) -> int:
+    """Items that may hold a token before it counts as shared."""
+    return max(2, int(np.ceil(COMMON_SHARE * items)))
 
 
 def _mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -33,48 +41,55 @@ def seed_hashes(tokens: np.ndarray, mask: str, salt: int) -> np.ndarray:
 
 
 class SeedIndex:
-    """All seeds of a bounded block of evaluation items, without those that several items share."""
+    """The seeds of a bounded block of evaluation items that look at one rare token or more.
+
+    Whatever several items share, such as an instruction that all begin with, has no rare token and so no seed; what a few share
+    keeps its seeds. Items shorter than every mask have their whole text as a seed."""
 
-    def __init__(self, ids: list[int], tokens: list[np.ndarray]):
-        self.ids = np.asarray(ids, np.int64)
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray, flat: np.ndarray, rare: np.ndarray, masks: tuple[str, ...], h: np.ndarray, p: np.ndarray):
+        self.ids, self.offsets, self.flat, self.rare, self.masks, self.h, self.p = ids, offsets, flat, rare, masks, h, p
+        self.owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
+        own = np.unique(np.stack([self.owner[rare], flat[rare].view(np.int64)]), axis=1) if rare.any() else np.empty((2, 0), np.int64)
+        self.least_tokens = np.minimum(LEAST_TOKENS, np.diff(offsets))
+        self.least_rare = np.clip(np.bincount(own[0], minlength=len(ids)), 1, LEAST_RARE)
+
+    @classmethod
+    def build(cls, ids: list[int], tokens: list[np.ndarray], common: np.ndarray) -> SeedIndex:
+        """Of items' token hashes; ``common``: the tokens that count as shared, over all items and not this block's alone."""
         lens = np.array([len(t) for t in tokens], np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
-        self.flat = np.concatenate(tokens).astype(np.uint64) if len(tokens) else np.empty(0, np.uint64)
-        self.owner = np.repeat(np.arange(len(ids)), lens)
-        self.common = max(2, int(np.ceil(COMMON_SHARE * len(ids))))
-        # tokens of many items are no evidence of their own
-        pairs = np.unique(np.stack([self.flat, self.owner.astype(np.uint64)]), axis=1) if len(self.flat) else np.empty((2, 0), np.uint64)
-        values, df = np.unique(pairs[0], return_counts=True)
-        self.rare = df[np.searchsorted(values, self.flat)] <= self.common if len(self.flat) else np.empty(0, bool)
-        hashes, places = [], []
-        for k, mask in enumerate(MASKS):
-            h = seed_hashes(self.flat, mask, k)
+        offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+        flat = np.concatenate(tokens).astype(np.uint64) if len(tokens) else np.empty(0, np.uint64)
+        owner = np.repeat(np.arange(len(ids)), lens)
+        rare = ~np.isin(flat, common)
+        least = min(map(len, MASKS))
+        masks = MASKS + tuple("1" * n for n in sorted({int(n) for n in lens if 0 < n < least}))
+        hashes, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for k, mask in enumerate(masks):
+            h = seed_hashes(flat, mask, k)
             if not len(h):
                 continue
-            inside = self.owner[: len(h)] == self.owner[len(mask) - 1 :]
+            seen = np.zeros(len(h), bool)
+            for i, c in enumerate(mask):
+                if c == "1":
+                    seen |= rare[i : i + len(h)]
+            inside = seen & (owner[: len(h)] == owner[len(mask) - 1 :])
+            if k >= len(MASKS):  # the whole text of a short item, and no part of a longer one
+                inside &= lens[owner[: len(h)]] == len(mask)
             hashes.append(h[inside])
             places.append(np.flatnonzero(inside))
-        if hashes:
-            h, p = np.concatenate(hashes), np.concatenate(places)
-            order = np.argsort(h, kind="stable")
-            h, p = h[order], p[order]
-            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            sets = np.diff(np.concatenate([start, [len(h)]]))
-            own = self.owner[p]
-            # own is ascending within equal hashes (stable sort over places); a group's first row always starts an owner
-            firsts = np.concatenate([[True], own[1:] != own[:-1]])
-            firsts[start] = True
-            items = np.add.reduceat(firsts.astype(np.int64), start)
-            keep = np.repeat(items < self.common, sets)
-            self.h, self.p = h[keep], p[keep]
-        else:
-            self.h, self.p = np.empty(0, np.uint64), np.empty(0, np.int64)
+        h, p = np.concatenate(hashes), np.concatenate(places)
+        order = np.argsort(h, kind="stable")
+        return cls(np.asarray(ids, np.int64), offsets, flat, rare, masks, h[order], p[order])
+
+    def arrays(self) -> tuple:
+        """What the index is made of, in plain arrays, to be sent."""
+        return self.ids, self.offsets, self.flat, self.rare, self.masks, self.h, self.p
 
     def hits(self, flat: np.ndarray, doc_of: np.ndarray):
         """(document position, item position) of every seed that documents and items share."""
         at_doc, at_item = [], []
         if len(self.h):
-            for k, mask in enumerate(MASKS):
+            for k, mask in enumerate(self.masks):
                 h = seed_hashes(flat, mask, k)
                 if not len(h):
                     continue
@@ -91,10 +106,10 @@ class SeedIndex:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate(at_doc), np.concatenate(at_item)
 
-    def overlaps(self, flat: np.ndarray, doc_of: np.ndarray, doc_start: np.ndarray, least_rare: int = 0, least_tokens: int = 0):
-        """{(document index, item index): (tokens in common order, distinct rare tokens among them)} of every pair
-        that shares a seed, for the stretch that meets both least counts with most rare tokens, else the one with most. Words put in, left out or replaced between equal tokens do no harm. Stretches that hold
-        fewer than ``least_rare`` of an item's rare tokens in any order are not aligned."""
+    def overlaps(self, flat: np.ndarray, doc_of: np.ndarray, doc_start: np.ndarray):
+        """{(document index, item index): (tokens in common order, distinct rare tokens among them)} of every pair that shares a
+        seed and a stretch with both least counts, for such a stretch with most rare tokens. Words put in, left out or
+        replaced between equal tokens do no harm. Stretches that hold too few of an item's rare tokens in any order are not aligned."""
         at_doc, at_item = self.hits(flat, doc_of)
         out: dict[tuple[int, int], tuple[int, int]] = {}
         if not len(at_doc):
@@ -108,19 +123,21 @@ class SeedIndex:
             item = self.flat[self.offsets[ik] : self.offsets[ik + 1]]
             rare = self.rare[self.offsets[ik] : self.offsets[ik + 1]]
             own = np.unique(item[rare])
-            best, k = (0, 0), a
+            least_tokens, least_rare = int(self.least_tokens[ik]), int(self.least_rare[ik])
+            best, k = None, a
             while k < b:  # stretches of hits no further apart than the item is long
                 reach = WINDOW_SLACK + 2 * len(item)
                 e = k
                 while e + 1 < b and at_doc[e + 1] - at_doc[e] <= reach and at_doc[e + 1] - at_doc[k] <= 4 * reach:
                     e += 1
                 lo, hi = max(int(doc_start[dk]), int(at_doc[k]) - reach), min(int(doc_start[dk + 1]), int(at_doc[e]) + reach)
-                if least_rare and np.isin(own, flat[lo:hi]).sum() < least_rare:
-                    k = e + 1
-                    continue
-                best = max(best, common(flat[lo:hi], item, rare), key=lambda v: (v[0] >= least_tokens and v[1] >= least_rare, v[1], v[0]))
+                if np.isin(own, flat[lo:hi]).sum() >= least_rare:
+                    found = common(flat[lo:hi], item, rare)
+                    if found[0] >= least_tokens and found[1] >= least_rare and (best is None or found[::-1] > best[::-1]):
+                        best = found
                 k = e + 1
-            out[dk, ik] = best
+            if best:
+                out[dk, ik] = best
         return out
 
 

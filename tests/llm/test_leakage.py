@@ -1,5 +1,9 @@
+import pickle
 import random
 
+import numpy as np
+import pytest
+
 from runloom.llm import leakage
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "tu", "ve", "zo", "ra", "ne", "pi", "su") for b in ("ba", "do", "fi", "gu", "le", "mo", "na", "po", "ri", "te")]
@@ -52,9 +56,46 @@ def test_a_stretch_that_qualifies_counts_beside_one_with_more_rare_tokens(spark)
     first, second = [f"rare{k}" for k in range(8)], [f"seldom{k}" for k in range(5)]
     head = first + plain[:8]  # 16 tokens, 8 of them rare
     tail = [w for k in range(5) for w in [second[k], *plain[4 * k : 4 * k + 4]]]  # 25 tokens, 5 of them rare
-    items = [(0, " ".join([*head, *text(rng, 40).split(), *tail])), (1, " ".join(plain)), (2, " ".join(plain))]
+    items = [(0, " ".join([*head, *text(rng, 40).split(), *tail])), (1, " ".join(plain)), (2, " ".join(plain[::-1]))]
     far = " ".join(f"far{k}" for k in range(2000))
     docs = [(0, " ".join([*head, far, *tail])), (1, " ".join([*head, far]))]
     got = leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     found = {(r["doc_id"], r["item_id"]): (r["tokens"], r["rare_tokens"]) for r in got.collect()}
     assert found[0, 0] == (25, 5) and (1, 0) not in found
+
+
+def find(spark, docs, items):
+    got = leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return {(r["doc_id"], r["item_id"]) for r in got.collect()}
+
+
+def test_items_listed_more_than_once_each_have_their_row(spark):
+    rng = random.Random(4)
+    item = text(rng, 60)
+    others = [(10 + i, text(rng, 60)) for i in range(5)]
+    docs = [(0, text(rng, 40) + " " + item), (1, text(rng, 100))]
+    assert find(spark, docs, [(1, item), (2, item), (3, item.upper()), (4, item), *others]) == {(0, 1), (0, 2), (0, 3), (0, 4)}
+
+
+@pytest.mark.parametrize("n", [3, 8, 9, 17])
+def test_short_items_are_found_whole(spark, n):
+    rng = random.Random(n)
+    item = text(rng, n)
+    docs = [(0, f"{text(rng, 40)} {item} {text(rng, 40)}"), (1, f"{text(rng, 40)} {' '.join(item.split()[:-1])} {text(rng, 40)}"), (2, item)]
+    assert find(spark, docs, [(1, item), (2, text(rng, 50))]) == {(0, 1), (2, 1)}
+
+
+@pytest.mark.parametrize("block", [300, 1_000_000])
+def test_blocks_do_not_change_what_is_found(spark, monkeypatch, block):
+    rng = random.Random(5)
+    shared = text(rng, 30)
+    items = [(i, f"{shared} {text(rng, 40)}") for i in range(20)]
+    docs = [(i, f"{text(rng, 30)} {' '.join(t.split()[40:70])}") for i, t in items] + [(100 + i, f"{shared} {text(rng, 60)}") for i in range(20)]
+    monkeypatch.setattr(leakage, "BLOCK_TOKENS", block)
+    assert find(spark, docs, items) == {(i, i) for i in range(20)}
+
+
+def test_index_is_sent_in_plain_arrays():
+    """Executors need not have this package."""
+    index = leakage.kernel.SeedIndex.build([1], [np.arange(40, dtype=np.uint64)], np.empty(0, np.uint64))
+    assert b"runloom" not in pickle.dumps(index.arrays())
