@@ -18,30 +18,31 @@ from runloom.session import checkpoint
 
 by_value(sys.modules[__name__])
 
-#: Levels of a document's hash-seeded quantile, at most, and rows of the quantile histogram that may be gathered.
+#: Levels of the quantile at which a source's rate is calibrated, and rows of that histogram that are gathered at most.
 LEVELS, GATHERED = 4096, 1 << 21
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Bytes of a tokenizer's rank file, which is sent to the executors, at most.
+RANK_BYTES = 1 << 26
 # Fixed value: how byte-level BPE splits a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_loaded: dict = {}
 
 
-def _encoding(path: str):
-    if path not in _loaded:
-        import tiktoken
+def _encoding(ranks: bytes):
+    import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
-        _loaded[path] = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    return _loaded[path]
+    return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks={base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}, special_tokens={})
 
 
-def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def count_tokens(documents: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, source, n_tokens) with a public tokenizer; null and empty texts have 0 tokens.
 
-    ``tokenizer`` is the path of a rank file, which every executor has to see."""
+    ``tokenizer`` is the path of a rank file on the driver, of at most RANK_BYTES; executors get its contents."""
+    ranks = Path(tokenizer).read_bytes()
+    if len(ranks) > RANK_BYTES:
+        raise ValueError(f"{tokenizer} is larger than a rank file is expected to be")
+    sent = documents.sparkSession.sparkContext.broadcast(ranks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(tokenizer)
+        encoding = _encoding(sent.value)
         for b in batches:
             n = [len(encoding.encode_ordinary(t)) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
@@ -54,12 +55,12 @@ def thresholds(rate: float, cap: int) -> list[float]:
     """Poisson probabilities of at most 0, 1, ... cap - 1: a quantile u is repeated as often as thresholds lie at or below it."""
     if math.isinf(rate):
         return [0.0] * cap
-    p = total = math.exp(-rate)
-    out = []
+    if rate <= 0:
+        return [1.0] * cap
+    out, total = [], 0.0
     for k in range(cap):
-        out.append(total)
-        p *= rate / (k + 1)
-        total += p
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        out.append(min(1.0, total))
     return out
 
 
@@ -74,34 +75,34 @@ def solve(want: float, u: np.ndarray, tokens: np.ndarray, cap: int) -> float:
         return float((tokens * np.searchsorted(np.asarray(thresholds(rate, cap)), u, "right")).sum())
 
     low, high = 0.0, 1.0
-    while drawn(high) < want and high < 600:
+    while drawn(high) < want:
         high *= 2
+        if high > 4.0 * cap + 100:  # all but every document is taken as often as it may be
+            return math.inf
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if drawn(mid) < want else (low, mid)
     return low if want - drawn(low) < drawn(high) - want else high
 
 
-def _levels(sources: int) -> int:
-    return max(16, min(LEVELS, GATHERED // max(1, sources)))
-
-
-def _quantile(levels: int, seed: int):
-    return (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(levels)) + 0.5) / levels
+def _quantile(seed: int):
+    """A document's place in (0, 1), from all bits that a double holds of its hash."""
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / float(1 << 53)
 
 
 def plan(counted: DataFrame, targets: DataFrame, seed: int = 0) -> list[dict]:
     """Per target source: available tokens, wanted tokens, Poisson rate and thresholds.
 
     The total is the largest at which every source that has tokens reaches its share within its max_repeats. Rates are
-    calibrated on the tokens of all documents by quantile, of which sources x levels sums are gathered (GATHERED at most)."""
+    calibrated on the tokens of all documents by quantile, of which sources x LEVELS sums are gathered. With so many sources
+    that these are more than GATHERED, rates are calibrated on fewer levels; what a document draws does not depend on that."""
     goals = {r["source"]: (float(r["target_share"] or 0.0), max(0, int(r["max_repeats"] or 0))) for r in targets.where("source is not null").collect()}  # settings
-    levels = _levels(len(goals))
+    levels = max(16, min(LEVELS, GATHERED // max(1, len(goals))))
     wanted = F.broadcast(targets.where("source is not null").select("source").distinct())
-    rows = counted.join(wanted, "source").groupBy("source", _quantile(levels, seed).alias("u")).agg(F.sum("n_tokens").alias("t")).collect()
+    rows = counted.join(wanted, "source").groupBy("source", F.least(F.floor(_quantile(seed) * levels), F.lit(levels - 1)).alias("level")).agg(F.sum("n_tokens").alias("t")).collect()
     by: dict[str, list[tuple[float, int]]] = {s: [] for s in goals}
-    for s, u, t in rows:
-        by[s].append((u, t))
+    for s, level, t in rows:
+        by[s].append(((level + 0.5) / levels, t))
     data = {s: (np.array([x[0] for x in v]), np.array([x[1] for x in v], float)) for s, v in by.items()}
     reach = [cap * data[s][1].sum() / share for s, (share, cap) in goals.items() if share > 0 and cap > 0 and data[s][1].sum() > 0]
     total = min(reach, default=0.0)
@@ -117,11 +118,11 @@ def _drawn(df: DataFrame, made: list[dict], seed: int) -> DataFrame:
     """``df`` (doc_id, source, ...) with repeats; sources without a target are left out."""
     spark = df.sparkSession
     t = spark.createDataFrame([(p["source"], [float(x) for x in p["thresholds"]]) for p in made], "source string, thresholds array<double>")
-    out = df.join(F.broadcast(t), "source").withColumn("u", _quantile(_levels(len(made)), seed))
+    out = df.join(F.broadcast(t), "source").withColumn("u", _quantile(seed))
     return out.withColumn("repeats", F.size(F.filter("thresholds", lambda x: x <= F.col("u")))).drop("thresholds", "u")
 
 
-def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: int = 0) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, tokenizer: str, seed: int = 0) -> DataFrame:
     """The mixture: doc_id, source, copy (0, 1, ...), position_key, text, globally shuffled (sorted by position_key).
 
     How often a document is taken is the inverse of a Poisson distribution at a quantile that a hash of doc_id and seed gives,
@@ -140,7 +141,7 @@ def _with_target(documents: DataFrame, targets: DataFrame) -> DataFrame:
     return documents.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
 
 
-def shares(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: int = 0) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, tokenizer: str, seed: int = 0) -> DataFrame:
     """What ``mix`` reaches: source, target_share, max_repeats, available_tokens, documents, copies, tokens, actual_share, for every target."""
     counted = checkpoint(count_tokens(_with_target(documents, targets), tokenizer))
     made = plan(counted, targets, seed)

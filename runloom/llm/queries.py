@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from runloom.llm import event_runs, leakage, mixing, mojibake, packing, truncation
 from runloom.sources.tables import spread, table
 
+#: The rank file of a public tokenizer that the mixture is measured with, read on the driver.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     return truncation.find_truncated(spread(truncation.texts(table(spark, d, "turns"), table(spark, d, "tool_results"))))
@@ -61,12 +64,12 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     """The mixture of sources, shuffled."""
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), TOKENIZER)
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """Shares that the mixture reaches."""
-    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"), TOKENIZER)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
