@@ -14,7 +14,6 @@ from math import log
 MISREAD_AS = ("cp1252", "latin-1", "cp1251", "cp1250", "cp437", "cp850", "mac_roman", "koi8-r", "cp866", "gbk", "big5", "shift_jis")
 LEGACY = ("cp1252", "cp1251", "koi8-r", "gbk", "euc_jp", "shift_jis", "mac_roman", "cp850", "cp866", "big5")
 CJK = ("gbk", "euc_jp", "shift_jis", "big5")
-MAX_LAYERS = 4
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _ACC = "À-ÖØ-öø-ÿĀ-ž"
@@ -62,7 +61,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 _NEXT_TO = re.compile(f"[{_HAN}](?=[A-Za-z0-9{_ACC}])|(?<=[A-Za-z0-9{_ACC}])[{_HAN}]")
 _LOST = re.compile("�+")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
-#: Where a text only quotes or names garbled characters: inside code quotes, or the replacement character called by its name.
+#: Where a text only quotes or names garbled characters: inside code quotes of up to 24 characters (longer ones hold text), or the replacement character called by its name.
 _QUOTED = re.compile(r"(?<!`)`[^`\n]{1,24}`(?!`)|�(?=['\"”’»)\]]?\s*\(?U\+FFFD)|(?<=U\+FFFD )[(\"'“]?�|(?<=U\+FFFD, )�|['\"“‘«]�['\"”’»]", re.I)
 
 
@@ -96,20 +95,30 @@ def cost(text: str, mostly_han: bool = False) -> float:
     """How garbled a text looks; 0 for text that reads correctly. Lost characters count where they stand."""
     if text.isascii():
         return 0.0
-    if len(text) > 40:
-        text = _PLAIN.sub(" ", text)
+    return _cost_of_word(text, mostly_han) if len(text) <= 48 else _cost(_PLAIN.sub(" ", text), mostly_han)
+
+
+def _cost(text: str, mostly_han: bool) -> float:
     total = 2.0 * len(_LOST.findall(text))
     for pattern, weight in _RULES:
-        n = sum(1 for _ in pattern.finditer(text))
-        total += weight * n
-    total += sum(1.0 for m in _PAIR.finditer(text) if not _USUAL_PAIR.fullmatch(m[1]))
-    if _HAN_RE.search(text):
-        total += sum(map(_rare_han, _HAN_RE.findall(text)))
+        found = pattern.findall(text)
+        if found:
+            total += weight * len(found)
+    for pair in _PAIR.findall(text):
+        if not _USUAL_PAIR.fullmatch(pair):
+            total += 1.0
+    han = _HAN_RE.findall(text)
+    if han:
+        total += sum(map(_rare_han, han))
         if not mostly_han:
-            total += sum(1 for _ in _NEXT_TO.finditer(text))
+            total += len(_NEXT_TO.findall(text))
     return total
 
 
+#: The same words come back in many texts, and in every grain of one.
+_cost_of_word = lru_cache(maxsize=1 << 17)(_cost)
+
+
 def _encode(piece: str, codec: str) -> bytes | None:
     """Bytes of a piece in a legacy encoding; positions that cp125x leave open stand for their C1 control."""
     try:
@@ -266,12 +275,19 @@ def repair(text: str):
     steps: list[str] = []
     if first <= 0:
         return _finish(text, steps, first)
-    for _ in range(MAX_LAYERS):
-        text, changed = _pass(text, steps, True)
+    before = first
+    while before > 0:  # one layer at a time, as many as there are
+        fixed, changed = _pass(text, steps, True)
         if not changed:
-            text, changed = _pass(text, steps, False)
+            fixed, changed = _pass(text, steps, False)
         if not changed:
             break
+        masked = mask_quotes(fixed)
+        left = cost(masked, _mostly_east(masked))
+        text = fixed
+        if left >= before:
+            break
+        before = left
     return _finish(text, steps, first)
 
 

@@ -48,3 +48,10 @@ def test_lower_case_word_garbled_in_place(text, true, read):
 @pytest.mark.parametrize("text", ["ВНИМАНИЕ: СТАРЫЙ КЛЮЧ, НОВЫЙ ИНДЕКС! Проверка ГОСТ, НАТО, СССР, ФГБУ, ЮНЕСКО, МХАТ.", "ПЛАНИРОВЩИК ХРАНИТ 842 × СТАРЫЙ КЛЮЧ!"])
 def test_real_capitals(text):
     assert judge(text)[:2] == (False, text)
+
+
+def test_as_many_layers_as_there_are():
+    text = "Die Übergabe prüft die Größe der Anfrage."
+    for _ in range(6):
+        text = wrong(text, "utf-8", "latin-1")
+    assert judge(text)[1] == "Die Übergabe prüft die Größe der Anfrage."
