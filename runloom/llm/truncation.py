@@ -145,7 +145,7 @@ def find_truncated(df: DataFrame, params: TruncationParams = TruncationParams())
     of_last = [F.when(last, F.col(c)).alias(c) for c in ("record_id", "source", "marker")]
     exploded = tok.select("field", "record_id", "source", "marker", "kind", "n", F.posexplode(zipped).alias("at", "g")).select("field", *of_last, "kind", F.col("g.0").alias("a"), F.col("g.1").alias("b"), F.coalesce("g.2", start).alias("c"), last.alias("last"))
     counted = checkpoint(numbered(exploded).groupBy("field", "kind", "w", "s", "rare", "last", "record_id", "source", "marker").agg(F.count("*").alias("n")))
-    words = counted.groupBy("field", "kind", "w", "s", "rare").agg(F.sum(F.when(F.col("last"), F.col("n")).otherwise(0)).alias("ends"), F.sum("n").alias("all"))
+    words = counted.select("field", "kind", "w", "s", "rare", F.when(F.col("last"), F.col("n")).otherwise(0).alias("ends"), F.col("n").alias("all"))
 
     # Ends in a frequent word or sign that often stand at the end account for themselves. What shapes say about a rare last
     # word, which may be a cut one, leaves them out.
