@@ -28,12 +28,16 @@ def _mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _started(n: int, salt: int) -> np.ndarray:
+    return np.full(n, np.uint64((salt + 1) * 0xD1B54A32D192ED03 % 2**64), np.uint64)
+
+
 def seed_hashes(tokens: np.ndarray, mask: str, salt: int) -> np.ndarray:
     """Hash of the looked-at positions for every window start of a flat token array (uint64)."""
     n = len(tokens) - len(mask) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.full(n, np.uint64((salt + 1) * 0xD1B54A32D192ED03 % 2**64), np.uint64)
+    h = _started(n, salt)
     for i, c in enumerate(mask):
         if c == "1":
             h = _mix(h, tokens[i : i + n])
@@ -49,6 +53,11 @@ class SeedIndex:
     def __init__(self, ids: np.ndarray, offsets: np.ndarray, flat: np.ndarray, rare: np.ndarray, masks: tuple[str, ...], h: np.ndarray, p: np.ndarray):
         self.ids, self.offsets, self.flat, self.rare, self.masks, self.h, self.p = ids, offsets, flat, rare, masks, h, p
         self.owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
+        # whether a token, by some bits of its hash, may be one of an item's, and a rare one
+        self.bits = np.uint64((1 << max(16, len(flat).bit_length() + 4)) - 1)
+        self.known, self.seldom = np.zeros(int(self.bits) + 1, bool), np.zeros(int(self.bits) + 1, bool)
+        self.known[flat & self.bits] = True
+        self.seldom[flat[rare] & self.bits] = True
         own = np.unique(np.stack([self.owner[rare], flat[rare].view(np.int64)]), axis=1) if rare.any() else np.empty((2, 0), np.int64)
         self.least_tokens = np.minimum(LEAST_TOKENS, np.diff(offsets))
         self.least_rare = np.clip(np.bincount(own[0], minlength=len(ids)), 1, LEAST_RARE)
@@ -89,19 +98,31 @@ class SeedIndex:
         """(document position, item position) of every seed that documents and items share."""
         at_doc, at_item = [], []
         if len(self.h):
+            known, seldom = self.known[flat & self.bits], self.seldom[flat & self.bits]
             for k, mask in enumerate(self.masks):
-                h = seed_hashes(flat, mask, k)
-                if not len(h):
+                n = len(flat) - len(mask) + 1
+                if n <= 0:
                     continue
+                looked = [i for i, c in enumerate(mask) if c == "1"]
+                may, rare = known[looked[0] : looked[0] + n].copy(), seldom[looked[0] : looked[0] + n].copy()
+                for i in looked[1:]:
+                    may &= known[i : i + n]
+                    rare |= seldom[i : i + n]
+                may &= rare
+                at = np.flatnonzero(may)
+                at = at[doc_of[at] == doc_of[at + len(mask) - 1]]
+                h = _started(len(at), k)
+                for i in looked:
+                    h = _mix(h, flat[at + i])
                 lo = np.searchsorted(self.h, h, "left")
-                found = (lo < len(self.h)) & (self.h[np.minimum(lo, len(self.h) - 1)] == h) & (doc_of[: len(h)] == doc_of[len(mask) - 1 :])
-                at = np.flatnonzero(found)
+                found = self.h[np.minimum(lo, len(self.h) - 1)] == h
+                at, lo, h = at[found], lo[found], h[found]
                 if not len(at):
                     continue
-                n = np.searchsorted(self.h, h[at], "right") - lo[at]
+                n = np.searchsorted(self.h, h, "right") - lo
                 at_doc.append(np.repeat(at, n))
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at_item.append(self.p[np.repeat(lo[at], n) + step])
+                at_item.append(self.p[np.repeat(lo, n) + step])
         if not at_doc:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate(at_doc), np.concatenate(at_item)
