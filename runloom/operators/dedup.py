@@ -2,7 +2,8 @@
 
 Ids are stored by time bucket, one row per bucket and id. Each bucket has a Bloom filter, kept as rows of 64-bit words, so
 neither building nor asking it gathers more than a word in one place. An id whose bits no earlier bucket holds is new
-beyond doubt; the others are verified exactly, each against the buckets whose filters hold it and no others.
+beyond doubt; the others are verified exactly in the storage of the nearest earlier bucket whose filter holds them, then, where that
+was mistaken, in the one before it, and in no others.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 
 from runloom.session import checkpoint
 
-#: Seconds of received_at in one bucket; bits that an id sets in its word; ids per word at which about 2 % of new ids look repeated.
+#: Seconds of received_at in one bucket; bits that an id sets in its word; ids of all buckets to a word. Filters are as long as all
+#: ids together need and stored without their empty words, so neither what an id asks nor how often it is mistaken grows with the number of buckets.
 BUCKET_S, BITS, IDS_PER_WORD = 6 * 3600, 4, 5
-#: Parts into which the deliveries of one id and bucket are split when they are marked.
+#: Parts, at least, into which the deliveries of one id and bucket are split when they are marked; an eighth of the shuffle partitions if that is more.
 SALTS = 16
 #: Bucket of deliveries without received_at, after all others.
 NO_TIME = 1 << 60
@@ -47,23 +49,32 @@ def mark(events: DataFrame, id_col: str = "message_id", time_col: str = "receive
     # exact storage: one row per bucket and id, combined before the shuffle, so a hot id costs one row per task
     store = rows.where("message_id is not null").groupBy("bucket", "message_id").agg(F.min(F.struct(F.coalesce("at", F.lit(1 << 62)).alias("at"), "delivery_id")).alias("first"), F.count("*").alias("n"))
     store = checkpoint(store.withColumn("h", F.xxhash64("message_id")))
-    totals = store.groupBy("bucket").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    words = max(16, totals // IDS_PER_WORD)
+    words = max(16, store.count() // IDS_PER_WORD)
     bits = store.select("bucket", "message_id", "first", F.pmod("h", F.lit(words)).alias("word"), _mask(F.col("h")).alias("mask"))
 
     # the filters: per word the buckets that set bits in it, in order; each id meets the word of its hash once per bucket
     filters = bits.groupBy("word", "bucket").agg(F.bit_or("mask").alias("set"))
     filters = filters.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("bucket", "set"))).alias("buckets"))
     asked = bits.join(filters, "word").select("bucket", "message_id", F.transform(F.filter("buckets", lambda b: (b["bucket"] < F.col("bucket")) & (b["set"].bitwiseAND(F.col("mask")) == F.col("mask"))), lambda b: b["bucket"]).alias("maybe"))
-    maybe = asked.where(F.size("maybe") > 0).select("bucket", "message_id", F.explode("maybe").alias("seen_in"))
-    # exact check in the storage of the buckets named, and only there
-    verified = maybe.join(store.select(F.col("bucket").alias("seen_in"), "message_id"), ["seen_in", "message_id"], "left_semi").select("bucket", "message_id").distinct()
+    maybe = asked.where(F.size("maybe") > 0)
+    # exact check in the storage of the nearest bucket named, and only there; a second round is for filters that were mistaken
+    kept_ids = store.select(F.col("bucket").alias("seen_in"), "message_id", F.lit(True).alias("seen"))
+    verified = None
+    while True:
+        nearest = maybe.select("bucket", "message_id", F.element_at("maybe", -1).alias("seen_in"), F.slice("maybe", F.lit(1), F.size("maybe") - 1).alias("maybe"))
+        checked = checkpoint(nearest.join(kept_ids, ["seen_in", "message_id"], "left"))
+        right = checked.where("seen").select("bucket", "message_id")
+        verified = right if verified is None else verified.unionByName(right)
+        maybe = checked.where(F.col("seen").isNull() & (F.size("maybe") > 0)).select("bucket", "message_id", "maybe")
+        if maybe.isEmpty():
+            break
 
     # ids with something to mark: repeated inside their bucket, or seen in an earlier one
     known = verified.withColumn("seen", F.lit(True))
     marks = store.join(known, ["bucket", "message_id"], "left").where("n > 1 or seen").select("bucket", "message_id", F.col("first.delivery_id").alias("first_id"), F.col("first.at").alias("first_at"), F.coalesce("seen", F.lit(False)).alias("seen"))
-    marks = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("delivery_id"), F.lit(SALTS)).cast("int"))
+    salts = max(SALTS, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    marks = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("delivery_id"), F.lit(salts)).cast("int"))
     out = salted.join(marks, ["bucket", "message_id", "salt"], "left")
     is_first = (F.col("first_id") == F.col("delivery_id")) & (F.col("first_at") == F.coalesce("at", F.lit(1 << 62)))
     return out.select("delivery_id", "bucket", "message_id", (F.col("first_id").isNull() | (~F.col("seen") & is_first)).alias("kept"))
@@ -75,7 +86,9 @@ def found(events: DataFrame) -> DataFrame:
 
 
 def deduplicate(events: DataFrame, delivery_col: str = "delivery_id") -> DataFrame:
-    """The deliveries to keep, whole: every column of ``events``, exactly one row per message id."""
+    """The deliveries to keep, whole: every column of ``events``, exactly one delivery per message id.
+
+    A delivery_id stands for one row; where the table holds copies of a delivery's row, all of them are kept or none."""
     gone = mark(events, delivery_col=delivery_col).where("not kept").select(F.col("delivery_id").alias("_gone")).distinct()
     return events.join(gone, F.col(delivery_col) == F.col("_gone"), "left_anti")
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from runloom.session import checkpoint
+
 _LEVEL = "DEBUG|INFO|WARNING|WARN|ERROR|CRITICAL|FATAL"
 
 
@@ -39,9 +41,10 @@ LAYOUTS = (
     Layout("syslog", r"^((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) [ \d]\d \d\d:\d\d:\d\d) \S+ ([^\s\[:]+)(?:\[\d+\])?: ?", 1, 0, 2, "month"),
     Layout("named", rf"^({_LEVEL}):([A-Za-z_][\w.\-]*):", 0, 1, 2, "none"),
     Layout("json", r'^\{(?:"(?:timestamp|severity|logger)": ?.*)?$', 0, 0, 0, "epoch"),
+    # any other line that begins with a full time, with or without a level behind it; only files without a header of those above have it
+    Layout("other", rf"^[\[(]?(\d{{4}}[-/]\d\d[-/]\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?)[\])]?[ :|,-]*(?:\[?({_LEVEL})\b\]?[ :|,-]*)?", 1, 2, 0, "offset"),
 )
-JSON = len(LAYOUTS)
-PAIRS = next(i for i, x in enumerate(LAYOUTS, 1) if x.name == "pairs")
+JSON, PAIRS, OTHER = (next(i for i, x in enumerate(LAYOUTS, 1) if x.name == n) for n in ("json", "pairs", "other"))
 #: Bytes of a file that one task orders at a time.
 BLOCK = 1 << 22
 #: The layout of a file's first header counts this much more: quoted output stands inside entries.
@@ -79,7 +82,7 @@ def _clock(raw: Column, kind: str) -> Column:
     if kind == "epoch":
         return _seconds_to_text(F.floor(raw.cast("double")).cast("long"))
     if kind == "offset":
-        return _offset_to_text(raw)
+        return _offset_to_text(F.replace(raw, F.lit("/"), F.lit("-")))
     if kind == "month":
         month = F.floor((F.position(F.substring(raw, 1, 3), F.lit("JanFebMarAprMayJunJulAugSepOctNovDec")) + 2) / 3)
         return F.concat(F.lit(f"{YEAR}-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(F.trim(F.substring(raw, 5, 2)), 2, "0"), F.substring(raw, 7, 9))
@@ -125,40 +128,46 @@ _FILE = ["run_id", "source"]
 def assign(run_log: DataFrame, keep_text: bool = False) -> DataFrame:
     """Every line with the entry it belongs to: run_id, source, byte_offset, entry_offset (null before a file's first entry), layout, ts_utc, severity, component and, if asked for, line and message.
 
-    Exact copies of a line (equal file and byte_offset) count once; null text reads as an empty line; null byte_offset
+    Copies of a line (equal file and byte_offset) count once, of unequal ones the first by text; null text reads as an empty line; null byte_offset
     has no place in a file and is left out; null run_id or source are files of their own. Fields are empty where a layout
     or line has none, null on continuation lines. An empty table gives an empty result.
 
+    A file that has no line in any of the layouts is held against a general one, any line that begins with a full time; where
+    it has none of these either, it has no entry, and ``unplaced`` counts its lines.
+
     Files are ordered in blocks of BLOCK bytes, so one file of any size spreads over many tasks. A block learns the
     file's layout and the entry it begins in from one summary row per block.
     """
     line = clean(F.coalesce(F.col("text"), F.lit("")))
+    cell = [*_FILE, "block"]
     lines = run_log.where("byte_offset is not null").select(*_FILE, F.col("byte_offset").cast("long").alias("byte_offset"), F.expr(f"cast(byte_offset div {BLOCK} as long)").alias("block"), line.alias("line"))
     lines = lines.withColumn("hit", _layout(F.col("line")))
     body = F.col("line").rlike(r'^\s+"(?:timestamp|severity|logger|message|pid)":')
+    ts, severity, component, message = _field(F.col("hit"), F.col("line"))
+    parsed = lines.select(*cell, "byte_offset", "hit", ts.alias("ts"), severity.alias("sev"), component.alias("comp"), body.alias("body"), F.when(body, F.col("line")).otherwise("").alias("json_line"), *([F.col("line"), message.alias("message")] if keep_text else []))
+    # every line is read once; copies go before the shuffle
+    once = checkpoint(parsed.distinct())
 
     # layout and carry: one row per block of a file
-    heads = lines.where("hit is not null").groupBy(*_FILE, "block", "hit").agg(F.count("*").alias("n"), F.min("byte_offset").alias("first"), F.max("byte_offset").alias("last"))
+    heads = once.where("hit is not null").groupBy(*_FILE, "block", "hit").agg(F.count("*").alias("n"), F.min("byte_offset").alias("first"), F.max("byte_offset").alias("last"))
     whole = W.partitionBy(*_FILE, "hit")
     by_file = W.partitionBy(*_FILE)
     heads = heads.withColumn("total", F.sum("n").over(whole)).withColumn("begins", F.min("first").over(whole)).withColumn("opens", F.min("first").over(by_file))
-    heads = heads.withColumn("score", F.col("total") * F.when(F.col("begins") == F.col("opens"), FIRST_BONUS).otherwise(1.0))
+    opens_file = F.when(F.col("begins") == F.col("opens"), FIRST_BONUS).otherwise(1.0)
+    heads = heads.withColumn("score", F.when(F.col("hit") == OTHER, 0.0).otherwise(F.col("total") * opens_file))
     best = F.max_by("hit", F.struct("score", -F.col("begins"))).over(by_file)
     chosen = heads.withColumn("layout", best).where("hit = layout").select(*_FILE, "layout", "block", "last")
-    blocks = lines.select(*_FILE, "block").distinct()
+    blocks = once.select(*_FILE, "block").distinct()
     key = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in _FILE]
     on = key("b", "c") + [F.col("b.block") == F.col("c.block")]
     state = blocks.alias("b").join(chosen.alias("c"), on, "left").select("b.run_id", "b.source", "b.block", "c.layout", "c.last")
     so_far = W.partitionBy(*_FILE).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     state = state.withColumn("layout", F.max("layout").over(by_file)).withColumn("carry", F.last("last", ignorenulls=True).over(so_far))
 
-    cell = [*_FILE, "block"]
-    ts, severity, component, message = _field(F.col("hit"), F.col("line"))
-    parsed = lines.select(*cell, "byte_offset", "hit", ts.alias("ts"), severity.alias("sev"), component.alias("comp"), body.alias("body"), F.when(body, F.col("line")).otherwise("").alias("json_line"), *([F.col("line"), message.alias("message")] if keep_text else []))
-    once = parsed.dropDuplicates([*cell, "byte_offset"])
     on = key("p", "s") + [F.col("p.block") == F.col("s.block")]
     placed = once.alias("p").join(state.alias("s"), on, "left").select("p.*", "s.layout", "s.carry")
-    within = W.partitionBy(*cell).orderBy("byte_offset")
+    within = W.partitionBy(*cell).orderBy("byte_offset", *(["line"] if keep_text else ["hit", "ts", "sev", "comp", "json_line"]))
+    placed = placed.withColumn("again", F.coalesce(F.lag("byte_offset").over(within) == F.col("byte_offset"), F.lit(False))).where("not again").drop("again")
     opens = (F.col("hit") == F.col("layout")) & ((F.col("hit") != JSON) | (F.col("ts") != "") | F.coalesce(F.lead("body").over(within), F.lit(True)))
     placed = placed.withColumn("entry", F.when(opens, F.col("byte_offset")))
     placed = placed.withColumn("entry_offset", F.coalesce(F.last("entry", ignorenulls=True).over(within), "carry"))
@@ -179,3 +188,8 @@ def entries(run_log: DataFrame, with_message: bool = True) -> DataFrame:
     text = [F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("byte_offset", "message"))), lambda x: x["message"])).alias("message")] if with_message else []
     out = a.groupBy(*_FILE, "entry_offset").agg(F.max("byte_offset").alias("last_offset"), first("ts_utc"), first("severity"), first("component"), F.count("*").alias("lines"), *text)
     return out.select(*_FILE, F.col("entry_offset").alias("first_offset"), "last_offset", "ts_utc", "severity", "component", "lines", *(["message"] if with_message else []))
+
+
+def unplaced(run_log: DataFrame) -> DataFrame:
+    """(run_id, source, lines, unplaced) of each file: its lines, and those of them that belong to no entry."""
+    return assign(run_log).groupBy(*_FILE).agg(F.count("*").alias("lines"), F.count_if(F.col("entry_offset").isNull()).alias("unplaced"))

@@ -18,6 +18,11 @@ def p4_entries(spark: SparkSession, d: str) -> DataFrame:
     return loglines.entries(table(spark, d, "run_log"))
 
 
+def p4_unplaced(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of each log file, and how many of them belong to no entry."""
+    return loglines.unplaced(table(spark, d, "run_log"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Deliveries that are not the ones to keep."""
     return dedup.found(table(spark, d, "chat_events"))
@@ -33,7 +38,7 @@ def p5_batches(spark: SparkSession, d: str) -> DataFrame:
     return dedup.copies_by_batch(table(spark, d, "chat_events"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_entries, p5_found, p5_messages, p5_batches)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_entries, p4_unplaced, p5_found, p5_messages, p5_batches)}
 
 _IDS = r"""WITH n AS (
   SELECT *, nullif(regexp_replace(message_id, '^\s+|\s+$', '', 'g'), '') AS mid FROM chat_events),
@@ -61,7 +66,7 @@ _HEAD = {
 }
 _CASE = " ".join(f"WHEN regexp_matches(line, '{p}') THEN {i}" for i, p in _HEAD.items())
 _EPOCH = "strftime(make_timestamp(CAST(floor(CAST({} AS DOUBLE)) AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S')"
-SQL["p4_found"] = rf"""WITH l AS (
+_ENTRIES = rf"""WITH l AS (
   SELECT DISTINCT run_id, source, byte_offset, regexp_replace(coalesce(text, ''), '\x1b\[[0-9;?]*[A-Za-z]|\r', '', 'g') AS line FROM run_log WHERE byte_offset IS NOT NULL),
 h AS (SELECT *, CASE {_CASE} END AS hit FROM l),
 c AS (SELECT run_id, source, hit, count(*) AS n, min(byte_offset) AS b FROM h WHERE hit IS NOT NULL GROUP BY ALL),
@@ -69,8 +74,8 @@ s AS (SELECT *, n * CASE WHEN b = min(b) OVER (PARTITION BY run_id, source) THEN
 f AS (SELECT run_id, source, hit AS layout FROM s QUALIFY row_number() OVER (PARTITION BY run_id, source ORDER BY score DESC, b) = 1),
 m AS (SELECT h.*, layout, lead(regexp_matches(line, '^\s+"(timestamp|severity|logger|message|pid)":')) OVER (PARTITION BY h.run_id, h.source ORDER BY byte_offset) AS nb FROM h JOIN f USING (run_id, source)),
 o AS (SELECT *, hit IS NOT NULL AND hit = layout AND (hit <> 10 OR regexp_matches(line, '"timestamp": ?[0-9]') OR coalesce(nb, true)) AS opens FROM m),
-e AS (SELECT *, max(CASE WHEN opens THEN byte_offset END) OVER (PARTITION BY run_id, source ORDER BY byte_offset ROWS UNBOUNDED PRECEDING) AS entry FROM o),
-p AS (SELECT *,
+e AS (SELECT *, max(CASE WHEN opens THEN byte_offset END) OVER (PARTITION BY run_id, source ORDER BY byte_offset ROWS UNBOUNDED PRECEDING) AS entry FROM o)"""
+_FIELDS = rf""", p AS (SELECT *,
   CASE WHEN layout = 10 THEN nullif(regexp_extract(line, '"timestamp": ?([0-9]+(\.[0-9]+)?)', 1), '')
        WHEN NOT opens THEN NULL
        WHEN layout = 6 THEN regexp_extract(line, '(^| )time=(\S+)', 2)
@@ -98,7 +103,7 @@ p AS (SELECT *,
   FROM e WHERE entry IS NOT NULL),
 g AS (SELECT run_id, source, entry, any_value(layout) AS layout, max(byte_offset) AS last_offset,
   coalesce(arg_min(raw, byte_offset) FILTER (WHERE raw IS NOT NULL), '') AS raw, upper(coalesce(arg_min(sev, byte_offset) FILTER (WHERE sev IS NOT NULL), '')) AS sev,
-  coalesce(arg_min(comp, byte_offset) FILTER (WHERE comp IS NOT NULL), '') AS comp FROM p GROUP BY run_id, source, entry)
+  coalesce(arg_min(comp, byte_offset) FILTER (WHERE comp IS NOT NULL), '') AS comp@MORE FROM p GROUP BY run_id, source, entry)
 SELECT run_id, source, entry AS first_offset, last_offset,
   CASE WHEN raw = '' THEN '' WHEN layout IN (4, 10) THEN {_EPOCH.format("raw")}
        WHEN layout = 6 THEN strftime(CAST(substr(raw, 1, 19) AS TIMESTAMP) - CASE WHEN raw LIKE '%Z' THEN INTERVAL 0 MINUTE
@@ -106,5 +111,10 @@ SELECT run_id, source, entry AS first_offset, last_offset,
        WHEN layout = 7 THEN '2026-' || substr(raw, 1, 2) || '-' || substr(raw, 3, 2) || substr(raw, 5)
        WHEN layout = 8 THEN '2026-' || lpad(CAST((instr('JanFebMarAprMayJunJulAugSepOctNovDec', substr(raw, 1, 3)) + 2) // 3 AS VARCHAR), 2, '0') || '-' || lpad(trim(substr(raw, 5, 2)), 2, '0') || substr(raw, 7)
        WHEN layout = 3 THEN replace(raw, '/', '-') ELSE replace(raw, 'T', ' ') END AS ts_utc,
-  CASE sev WHEN 'WARN' THEN 'WARNING' WHEN 'W' THEN 'WARNING' WHEN 'FATAL' THEN 'CRITICAL' WHEN 'F' THEN 'CRITICAL' WHEN 'D' THEN 'DEBUG' WHEN 'I' THEN 'INFO' WHEN 'E' THEN 'ERROR' ELSE sev END AS severity, comp AS component
+  CASE sev WHEN 'WARN' THEN 'WARNING' WHEN 'W' THEN 'WARNING' WHEN 'FATAL' THEN 'CRITICAL' WHEN 'F' THEN 'CRITICAL' WHEN 'D' THEN 'DEBUG' WHEN 'I' THEN 'INFO' WHEN 'E' THEN 'ERROR' ELSE sev END AS severity, comp AS component@MORE_OUT
 FROM g"""
+_MESSAGE = rf"""CASE WHEN NOT opens THEN line WHEN layout = 10 THEN regexp_extract(line, '"message": ?"((?:[^"\\]|\\.)*)"', 1) WHEN layout = 6 THEN regexp_extract(line, ' msg="((?:[^"\\]|\\.)*)"', 1)
+  {" ".join(f"WHEN layout = {i} THEN regexp_replace(line, '{p}', '')" for i, p in _HEAD.items() if i not in (6, 10))} END"""
+SQL["p4_found"] = _ENTRIES + _FIELDS.replace("@MORE_OUT", "").replace("@MORE", "")
+SQL["p4_entries"] = _ENTRIES + _FIELDS.replace("@MORE_OUT", ", lines, message").replace("@MORE", f", count(*) AS lines, string_agg({_MESSAGE}, chr(10) ORDER BY byte_offset) AS message")
+SQL["p4_unplaced"] = _ENTRIES + "SELECT run_id, source, count(*) AS lines, count(*) FILTER (WHERE entry IS NULL) AS unplaced FROM e GROUP BY run_id, source"

@@ -54,3 +54,15 @@ def test_messages(spark):
     m = {(r["source"], r["first_offset"]): r["message"] for r in loglines.entries(frame(spark)).collect()}
     assert m["a.log", 1] == "one\nmore\n"
     assert m["e.log", 0] == "There\nINFO:eval.apply:no"
+
+
+def test_a_file_in_no_layout_is_held_against_times_and_else_counted(spark):
+    lines = {
+        "x.log": ["boot", "2026/03/04 05:06:07.5Z worker: starts", "  more", "[2026-03-04T05:06:09+02:00] ERROR lost"],
+        "y.log": ["no header", "none at all"],
+        "z.log": ["2026-03-04 05:06:07 quoted before", "INFO:eval.apply:yes"],
+    }
+    df = spark.createDataFrame([("r", f, i, t) for f, some in lines.items() for i, t in enumerate(some)], "run_id string, source string, byte_offset long, text string")
+    got = {tuple(r)[1:7] for r in loglines.entries(df, False).drop("lines").collect()}
+    assert got == {("x.log", 1, 2, "2026-03-04 05:06:07", "", ""), ("x.log", 3, 3, "2026-03-04 03:06:09", "ERROR", ""), ("z.log", 1, 1, "", "INFO", "eval.apply")}
+    assert {tuple(r)[1:] for r in loglines.unplaced(df).collect()} == {("x.log", 4, 1), ("y.log", 2, 2), ("z.log", 2, 1)}
