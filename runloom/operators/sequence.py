@@ -1,6 +1,7 @@
 """Operators over ordered sequences: turns, tool calls and messages of agent runs.
 
-All take DataFrames and return DataFrames; order is always explicit. Null keys form a group of their own, empty inputs give
+All take DataFrames and return DataFrames; order is always explicit. Passes over a run go block by block (``blocks``), so that
+a run of any length spreads over many tasks. Null keys form a group of their own, empty inputs give
 empty results, and further columns of an input are ignored unless said.
 """
 
@@ -10,31 +11,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from runloom.functions.text import action_mask
+from runloom.operators.blocks import place, scan, unplace
+from runloom.session import checkpoint
+
 # Texts that the condensed history shows in place of what was cut or masked.
 CLIP_MARK = " [... TRUNCATED ...] "
 CLIP_NOTE = "\n[The observation was truncated in the middle as it was too long.]"
+MASKED_ARGUMENTS = ("old_str", "new_str", "file_text")
 MASK_NOTE = "[The observation of the above action has been masked out to shorten the context.]"
 
 
-def latest_free(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key, the one with the least ``order``: re-ingested copies removed with a map-side combine. Null keys are one key."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
+_CALL = ("step_idx", "call_idx", "call_id")
+_TURN = ("step_idx", "turn_id")
+
+
+def _runs(df: DataFrame) -> DataFrame:
+    return place(df, ["run_id"], "step_idx")
+
+
+def _before(name: str, n: int) -> Column:
+    """The n-th value before a row, of an array that ``scan`` made; null where there are fewer."""
+    return F.get(name, F.size(name) - n)
+
+
+def _same(key: str, at: str, a: str, b: str) -> Column:
+    return F.col(f"{a}.{key}").eqNullSafe(F.col(f"{b}.{key}")) & (F.col(f"{a}.{at}") == F.col(f"{b}.{at}"))
 
 
-def _run(*order: str):
-    return W.partitionBy("run_id").orderBy(*order)
+def numbered(rows: DataFrame, key: str, order: tuple[str, ...], name: str) -> DataFrame:
+    """``rows`` with their places in their group, from 1."""
+    return unplace(scan(place(rows, [key], order[0]), order, sums={name: F.lit(1).cast("long")}))
 
 
 def stuck(calls: DataFrame, text: str, k: int = 3) -> DataFrame:
     """(run_id, first_stuck): first position, among non-empty texts, at which the last k are equal. k <= 0 finds none."""
     if k <= 0:
         return calls.select("run_id", F.lit(0).cast("long").alias("first_stuck")).limit(0)
-    rows = calls.where(F.coalesce(F.col(text), F.lit("")) != "").withColumn("pos", F.row_number().over(_run("step_idx", "call_idx", "call_id")).cast("long"))
-    equal = F.lit(True)
-    for i in range(1, k):
-        equal = equal & (F.lag(text, i).over(_run("pos")) == F.col(text))
-    return rows.withColumn("stuck", equal).where("stuck").groupBy("run_id").agg(F.min("pos").alias("first_stuck"))
+    rows = calls.where(F.coalesce(F.col(text), F.lit("")) != "").select("run_id", *_CALL, F.md5(text).alias("same"))
+    rows = scan(_runs(rows), _CALL, sums={"pos": F.lit(1).cast("long")}, before=("seen", F.col("same"), max(1, k - 1)))
+    equal = (F.size("seen") == k - 1) & F.forall("seen", lambda x: x == F.col("same")) if k > 1 else F.lit(True)
+    return rows.where(equal).groupBy("run_id").agg(F.min("pos").alias("first_stuck"))
 
 
 def signature(tool: str = "tool_name", action: str = "action", cut: int = 300) -> Column:
@@ -48,7 +65,7 @@ def first_loop(calls: DataFrame, k: int = 3) -> DataFrame:
     s = calls.select("run_id", "step_idx", "call_idx", "call_id", signature().alias("signature"))
     at = F.struct("step_idx", "call_idx", "call_id")
     n = s.withColumn("rn", F.row_number().over(W.partitionBy("run_id", "signature").orderBy("step_idx", "call_idx", "call_id")))
-    per = n.where(F.col("rn").isin(1, k)).groupBy("run_id", "signature").agg(F.min(F.when(F.col("rn") == 1, at)).alias("first"), F.min(F.when(F.col("rn") == k, at)).alias("hit")).where("hit is not null")
+    per = n.where(F.col("rn") <= k).where(F.col("rn").isin(1, k)).groupBy("run_id", "signature").agg(F.min(F.when(F.col("rn") == 1, at)).alias("first"), F.min(F.when(F.col("rn") == k, at)).alias("hit")).where("hit is not null")
     best = per.groupBy("run_id").agg(F.min_by(F.struct("signature", "first", "hit"), "hit").alias("b"))
     return best.select("run_id", "b.signature", F.col("b.first.step_idx").alias("first_step"), F.col("b.hit.step_idx").alias("hit_step"))
 
@@ -66,7 +83,7 @@ def step_exit(calls: DataFrame, turns: DataFrame, budget: int = 3) -> DataFrame:
     A step is dead if a call was skipped, its budget exhausted if the run's timeouts so far exceed ``budget``."""
     per = calls.groupBy("run_id", "step_idx").agg(F.max((F.col("status") == "skipped").cast("int")).alias("dead"), F.sum((F.col("status") == "timeout").cast("long")).alias("timeouts"), F.max((F.col("status") != "ok").cast("int")).alias("errors"))
     t = turns.groupBy("run_id", "step_idx").agg(F.max(F.coalesce("done", F.lit(False)).cast("int")).alias("done"))
-    both = t.join(per, ["run_id", "step_idx"], "left").withColumn("spent", F.sum(F.coalesce("timeouts", F.lit(0))).over(_run("step_idx").rowsBetween(W.unboundedPreceding, 0)))
+    both = scan(_runs(t.join(per, ["run_id", "step_idx"], "left")), ["step_idx"], sums={"spent": F.coalesce("timeouts", F.lit(0))})
     out = F.when(F.coalesce("dead", F.lit(0)) == 1, "terminal_dead").when((F.col("timeouts") > 0) & (F.col("spent") > budget), "timeout_budget_exhausted").when(F.col("done") == 1, "finished")
     return both.select("run_id", "step_idx", out.when(F.coalesce("errors", F.lit(0)) == 1, "completed_with_tool_errors").otherwise("completed").alias("exit"))
 
@@ -80,15 +97,15 @@ def skipped_fill(calls: DataFrame) -> DataFrame:
 
 def response_spans(turns: DataFrame, limit: int) -> DataFrame:
     """(run_id, step_idx, span_start, span_end): half-open token spans, without those that start at or after ``limit``, ends clamped to it."""
-    end = F.sum(F.coalesce("tokens", F.lit(0)).cast("long")).over(_run("step_idx", "turn_id").rowsBetween(W.unboundedPreceding, 0))
-    s = turns.select("run_id", "step_idx", (end - F.coalesce("tokens", F.lit(0))).alias("span_start"), end.alias("e"))
+    n = F.coalesce("tokens", F.lit(0)).cast("long")
+    s = scan(_runs(turns.select("run_id", *_TURN, n.alias("n"))), _TURN, sums={"e": F.col("n")}).withColumn("span_start", F.col("e") - F.col("n"))
     return s.where(F.col("span_start") < limit).select("run_id", "step_idx", "span_start", F.least("e", F.lit(limit)).cast("long").alias("span_end"))
 
 
 def length_stop(turns: DataFrame, limit: int) -> DataFrame:
     """(run_id, kept_turns, tokens, stopped): turns before the one whose tokens would reach ``limit``."""
-    so_far = F.sum(F.coalesce("tokens", F.lit(0)).cast("long")).over(_run("step_idx", "turn_id").rowsBetween(W.unboundedPreceding, 0))
-    s = turns.select("run_id", F.coalesce("tokens", F.lit(0)).alias("n"), so_far.alias("so_far"))
+    n = F.coalesce("tokens", F.lit(0)).cast("long")
+    s = scan(_runs(turns.select("run_id", *_TURN, n.alias("n"))), _TURN, sums={"so_far": F.col("n")})
     keep = F.col("so_far") < limit
     return s.groupBy("run_id").agg(F.count_if(keep).alias("kept_turns"), F.sum(F.when(keep, F.col("n")).otherwise(0)).cast("long").alias("tokens"), F.max(~keep).alias("stopped"))
 
@@ -101,31 +118,42 @@ def token_cost(text: Column) -> Column:
 def compact(messages: DataFrame, most: int, target: int) -> DataFrame:
     """Kept rows of ``messages`` (conv_id, idx, role, content): all, where a conversation costs at most ``most`` or has no user
     message; else system messages and the newest user-led chunks that fit ``target``, the newest always."""
-    w = W.partitionBy("conv_id").orderBy("idx")
-    whole = W.partitionBy("conv_id")
-    m = messages.withColumn("cost", token_cost(F.col("content"))).withColumn("chunk", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    m = m.withColumn("total", F.sum("cost").over(whole)).withColumn("fixed", F.sum(F.when(F.col("role") == "system", F.col("cost")).otherwise(0)).over(whole)).withColumn("newest", F.max("chunk").over(whole))
-    later = W.partitionBy("conv_id").orderBy(F.col("chunk").desc()).rangeBetween(W.unboundedPreceding, 0)
-    m = m.withColumn("run", F.sum(F.when((F.col("role") != "system") & (F.col("chunk") > 0), F.col("cost")).otherwise(0)).over(later))
-    keep = (F.col("total") <= most) | (F.col("newest") == 0) | (F.col("role") == "system") | ((F.col("chunk") > 0) & ((F.col("chunk") == F.col("newest")) | (F.col("run") <= F.greatest(F.lit(0), F.lit(target) - F.col("fixed")))))
-    return m.where(keep).select("conv_id", "idx", "role", "content")
-
-
-def condense(messages: DataFrame, budget: int, cap: int = 5000, keep_first: int = 2, keep_last: int = 10, role: str = "tool") -> DataFrame:
-    """``messages`` (conv_id, idx from 0, role, content) with long observations clipped in the middle, then the oldest masked until ``budget`` characters are saved; unmet: whether the budget was not reached."""
-    w = W.partitionBy("conv_id").orderBy("idx")
-    whole = W.partitionBy("conv_id")
-    text = F.coalesce("content", F.lit(""))
-    seen = (F.col("role") == role) & (F.col("idx") >= keep_first)
+    user, system = F.coalesce(F.col("role") == "user", F.lit(False)), F.coalesce(F.col("role") == "system", F.lit(False))
+    # texts stay behind: what is kept is decided on costs alone
+    m = place(messages.select("conv_id", "idx", user.alias("user"), system.alias("system"), token_cost(F.col("content")).alias("cost")), ["conv_id"], "idx")
+    moving = F.when(F.col("system"), 0).otherwise(F.col("cost"))
+    m = scan(m, ["idx"], sums={"chunk": F.col("user").cast("long"), "so_far": moving}, totals={"newest": ("sum", F.col("user").cast("long")), "total": ("sum", F.col("cost")), "moving": ("sum", moving)})
+    m = checkpoint(m)
+    # a chunk and all after it cost what is left at its user message
+    m = scan(m, ["idx"], lasts={"run": F.when(F.col("user"), F.col("moving") - F.col("so_far") + F.col("cost"))})
+    room = F.greatest(F.lit(0), F.lit(target) - (F.col("total") - F.col("moving")))
+    keep = (F.col("total") <= most) | (F.col("newest") == 0) | F.col("system") | ((F.col("chunk") > 0) & ((F.col("chunk") == F.col("newest")) | (F.col("run") <= room)))
+    kept = m.where(keep).select("conv_id", "idx")
+    return messages.select("conv_id", "idx", "role", "content").alias("a").join(kept.alias("k"), _same("conv_id", "idx", "a", "k"), "left_semi")
+
+
+def condense(messages: DataFrame, budget: int, cap: int = 5000, keep_first: int = 2, keep_last: int = 10, role: str = "tool", assistant: str = "assistant", arguments: tuple[str, ...] = MASKED_ARGUMENTS) -> DataFrame:
+    """``messages`` (conv_id, idx from 0, role, content) with long observations clipped in the middle, then the oldest masked until
+    ``budget`` characters are saved, then the named arguments of the assistant's calls, oldest first; unmet: whether the budget was not reached."""
     half = cap // 2
-    m = messages.select("conv_id", "idx", "role", text.alias("content")).withColumn("n", F.max("idx").over(whole) + 1)
-    m = m.withColumn("t1", F.when(seen & (F.length("content") > cap), F.concat(F.left("content", F.lit(half)), F.lit(CLIP_MARK), F.right("content", F.lit(half)), F.lit(CLIP_NOTE))).otherwise(F.col("content")))
-    m = m.withColumn("left0", F.lit(budget) - F.sum(F.length("content") - F.length("t1")).over(whole))
-    m = m.withColumn("cand", seen & (F.col("idx") < F.col("n") - keep_last) & (F.col("t1") != MASK_NOTE)).withColumn("size", F.when(F.col("cand"), F.length("t1")).otherwise(0))
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    m = m.withColumn("left", F.col("left0") - before).withColumn("masked", F.col("cand") & (F.col("left") > 0))
-    unmet = F.col("left0") - F.sum("size").over(whole) > 0
-    return m.select("conv_id", "idx", F.when(F.col("masked"), MASK_NOTE).otherwise(F.col("t1")).alias("content"), "masked", unmet.alias("unmet"))
+    seen = F.coalesce(F.col("role") == role, F.lit(False)) & (F.col("idx") >= keep_first)
+    t = messages.select("conv_id", "idx", F.coalesce("content", F.lit("")).alias("content"), seen.alias("seen"), F.coalesce(F.col("role") == assistant, F.lit(False)).alias("reply"))
+    clipped = F.concat(F.left("content", F.lit(half)), F.lit(CLIP_MARK), F.right("content", F.lit(half)), F.lit(CLIP_NOTE))
+    t = t.withColumn("t1", F.when(F.col("seen") & (F.length("content") > cap), clipped).otherwise(F.col("content")))
+    t = t.withColumn("t2", F.when(F.col("reply"), action_mask(F.col("t1"), list(arguments))).otherwise(F.col("t1")))
+    # texts stay behind: what is cut is decided on lengths alone
+    m = t.select("conv_id", "idx", "seen", F.length("content").alias("n0"), F.length("t1").alias("n1"), F.length("t2").alias("n2"), (F.col("t1") == MASK_NOTE).alias("gone"))
+    m = checkpoint(scan(place(m, ["conv_id"], "idx"), ["idx"], totals={"saved": ("sum", F.col("n0") - F.col("n1")), "newest": ("max", F.col("idx"))}))
+    old = F.col("idx") < F.col("newest") + 1 - keep_last
+    m = m.withColumn("size", F.when(F.col("seen") & old & ~F.col("gone"), F.col("n1")).otherwise(0)).withColumn("gain", F.when(old, F.col("n1") - F.col("n2")).otherwise(0))
+    m = scan(m, ["idx"], sums={"so_far": F.col("size"), "gained": F.col("gain")}, totals={"all": ("sum", F.col("size")), "gains": ("sum", F.col("gain"))})
+    left = F.lit(budget) - F.col("saved")
+    masked = F.col("seen") & old & ~F.col("gone") & (left - (F.col("so_far") - F.col("size")) > 0)
+    # last, the named arguments of what the assistant sent, oldest first, while still too much is left
+    cut = (F.col("gain") > 0) & (left - F.col("all") - (F.col("gained") - F.col("gain")) > 0)
+    m = m.select("conv_id", "idx", masked.alias("masked"), cut.alias("cut"), (left - F.col("all") - F.col("gains") > 0).alias("unmet"))
+    out = t.alias("t").join(m.alias("m"), _same("conv_id", "idx", "t", "m"))
+    return out.select("t.conv_id", "t.idx", F.when(F.col("masked"), MASK_NOTE).when(F.col("cut"), F.col("t2")).otherwise(F.col("t1")).alias("content"), "masked", "unmet")
 
 
 def condense_budget(length: Column, limit: int, attempt: int = 0, margin: int = 1024, per_token: int = 4, least: int = 2000) -> Column:
@@ -134,13 +162,15 @@ def condense_budget(length: Column, limit: int, attempt: int = 0, margin: int =
 
 
 def split_on_change(rows: DataFrame, by: list[str], key: str = "run_id", order: tuple[str, ...] = ("step_idx", "turn_id")) -> DataFrame:
-    """``rows`` with trajectory: a number that goes up by one where a column of ``by`` differs from the row before."""
-    w = W.partitionBy(key).orderBy(*order)
-    same = F.row_number().over(w) > 1
+    """``rows`` with trajectory: a number that goes up by one where a column of ``by`` differs from the row before. All columns
+    of ``rows`` are written once; give it only those that are needed."""
+    x = scan(place(rows, [key], order[0]), order, before=("_seen", F.struct(*by), 1))
+    last = _before("_seen", 1)
+    same = last.isNotNull()
     for c in by:
-        same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
-    flagged = rows.withColumn("_new", F.when(same, 0).otherwise(1))
-    return flagged.withColumn("trajectory", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+        same = same & F.col(c).eqNullSafe(last[c])
+    x = checkpoint(x.withColumn("_new", F.when(same, 0).otherwise(1)).drop("_seen"))
+    return unplace(scan(x, order, sums={"trajectory": F.col("_new")})).drop("_new")
 
 
 def split_trajectories(requests: DataFrame) -> DataFrame:
@@ -148,41 +178,42 @@ def split_trajectories(requests: DataFrame) -> DataFrame:
 
     A request goes on with its trajectory if tools are equal and its history begins with the history and reply of the last
     committed request. Failed requests commit nothing and have no row."""
-    w = W.partitionBy("session_id").orderBy("seq")
     r = requests.where("ok").withColumn("committed", F.concat("history", F.array("reply")))
-    prev, tools = F.lag("committed").over(w), F.lag("tools").over(w)
-    r = r.withColumn("prev", prev).withColumn("prev_tools", tools)
-    goes_on = F.col("prev").isNotNull() & F.col("tools").eqNullSafe(F.col("prev_tools")) & (F.slice("history", F.lit(1), F.size("prev")) == F.col("prev"))
-    return r.withColumn("brk", F.when(goes_on, 0).otherwise(1)).select("session_id", "seq", F.sum("brk").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("trajectory"))
+    r = scan(place(r, ["session_id"], "seq"), ["seq"], before=("seen", F.struct("committed", "tools"), 1)).withColumn("prev", _before("seen", 1))
+    prev = F.col("prev.committed")
+    goes_on = prev.isNotNull() & F.col("tools").eqNullSafe(F.col("prev.tools")) & (F.slice("history", F.lit(1), F.size(prev)) == prev)
+    r = checkpoint(r.select("session_id", "seq", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1).alias("new")))
+    r = scan(place(r, ["session_id"], "seq"), ["seq"], sums={"trajectory": F.col("new")})
+    return r.select("session_id", "seq", "trajectory")
 
 
 def carry_kind(lines: DataFrame) -> DataFrame:
     """``lines`` (run_id, source, byte_offset, text) with kind: that of the last marker, until a dated line without one."""
     t = F.coalesce("text", F.lit(""))
     marker = F.when(t.rlike(r"STEP \d+"), "step").when(t.contains("THOUGHT:"), "thought").when(t.contains("ACTION"), "action").when(t.contains("MODEL INPUT"), "input").when(t.contains("Observation:"), "observation").when(t.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d"), "none")
-    w = W.partitionBy("run_id", "source").orderBy("byte_offset").rowsBetween(W.unboundedPreceding, 0)
-    return lines.select("run_id", "source", "byte_offset", F.coalesce(F.last(marker, ignorenulls=True).over(w), F.lit("none")).alias("kind"))
+    x = lines.select("run_id", "source", "byte_offset", marker.alias("marker"))
+    x = scan(place(x, ["run_id", "source"], "byte_offset", 1 << 22), ["byte_offset"], lasts={"kind": F.col("marker")})
+    return x.select("run_id", "source", "byte_offset", F.coalesce("kind", F.lit("none")).alias("kind"))
 
 
 def retries(calls: DataFrame) -> DataFrame:
     """(call_id, next_call_id, failed_again): for each failed call the next of its tool in the run; null where none follows."""
-    w = W.partitionBy("run_id", "tool_name").orderBy("step_idx", "call_idx", "call_id")
-    nxt = calls.withColumn("next_call_id", F.lead("call_id").over(w)).withColumn("next_status", F.lead("status").over(w))
-    return nxt.where("status <> 'ok'").select("call_id", "next_call_id", (F.col("next_status") != "ok").alias("failed_again"))
+    x = place(calls.select("run_id", "tool_name", *_CALL, "status"), ["run_id", "tool_name"], "step_idx")
+    x = scan(x, _CALL, before=("later", F.struct("call_id", "status"), 1), reverse=True).withColumn("next", _before("later", 1))
+    return x.where("status <> 'ok'").select("call_id", F.col("next.call_id").alias("next_call_id"), (F.col("next.status") != "ok").alias("failed_again"))
 
 
 def verbatim_repeats(calls: DataFrame) -> DataFrame:
     """(call_id, step_idx, repeats_step, nth): calls whose signature was seen before in the run, with the latest step it had."""
-    w = W.partitionBy("run_id", "sig").orderBy("step_idx", "call_idx", "call_id")
-    s = calls.withColumn("sig", signature())
-    return s.withColumn("repeats_step", F.lag("step_idx").over(w)).withColumn("nth", F.row_number().over(w)).where("nth > 1").select("call_id", "step_idx", "repeats_step", "nth")
+    x = place(calls.select("run_id", *_CALL, signature().alias("sig")), ["run_id", "sig"], "step_idx")
+    x = scan(x, _CALL, sums={"nth": F.lit(1)}, before=("seen", F.col("step_idx"), 1))
+    return x.where("nth > 1").select("call_id", "step_idx", _before("seen", 1).alias("repeats_step"), F.col("nth").cast("int").alias("nth"))
 
 
 def new_output(calls: DataFrame) -> DataFrame:
     """(call_id, fresh): a call's observation without what the run's call before had shown already."""
-    w = _run("step_idx", "call_idx", "call_id")
-    seen, text = F.coalesce(F.lag("observation").over(w), F.lit("")), F.coalesce("observation", F.lit(""))
-    c = calls.select("call_id", seen.alias("seen"), text.alias("text"))
+    c = _runs(calls.select("run_id", *_CALL, F.coalesce("observation", F.lit("")).alias("text")))
+    c = scan(c, _CALL, before=("shown", F.col("text"), 1)).withColumn("seen", F.coalesce(_before("shown", 1), F.lit("")))
     return c.select("call_id", F.when(F.col("seen").startswith(F.col("text")), "").when(F.col("text").startswith(F.col("seen")), F.substring("text", F.length("seen") + 1, F.length("text"))).otherwise(F.col("text")).alias("fresh"))
 
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runloom.functions import text as T
 from runloom.operators import grading, monitor, prep, retrieval, sequence
+from runloom.operators.blocks import once
 from runloom.operators.order import with_index
 from runloom.sources.tables import table
 
@@ -31,12 +31,17 @@ def query(sql: str | None = None):
     return add
 
 
-def turns(spark: SparkSession, d: str) -> DataFrame:
-    return sequence.latest_free(table(spark, d, "turns"), "turn_id", "ingested_at")
+def turns(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Each turn once, with turn_id and the columns asked for and no others."""
+    return once(table(spark, d, "turns").select("turn_id", "ingested_at", *columns), "turn_id", "ingested_at").drop("ingested_at")
 
 
-def calls(spark: SparkSession, d: str) -> DataFrame:
-    return sequence.latest_free(table(spark, d, "tool_results"), "call_id", "ingested_at")
+def calls(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Each call once, with call_id and the columns asked for and no others."""
+    return once(table(spark, d, "tool_results").select("call_id", "ingested_at", *columns), "call_id", "ingested_at").drop("ingested_at")
+
+
+PLACE = ("run_id", "step_idx", "call_idx")
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -50,20 +55,20 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT run_id, pos, action = lag(action) OVER w AND action = lag(action, 2) OVER w AS st FROM n WINDOW w AS (PARTITION BY run_id ORDER BY pos))
 SELECT run_id, min(pos) AS first_stuck FROM s WHERE st GROUP BY run_id""")
 def stuck_runs(spark, d):
-    return sequence.stuck(calls(spark, d), "action", 3)
+    return sequence.stuck(calls(spark, d, *PLACE, "action"), "action", 3)
 
 
 @query(f"""WITH {_C}, s AS (SELECT *, {_SIG} AS signature FROM calls1), n AS (SELECT *, row_number() OVER (PARTITION BY run_id, signature ORDER BY {_ORD}) AS rn FROM s),
 h AS (SELECT * FROM n WHERE rn = 3 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY {_ORD}) = 1)
 SELECT h.run_id, h.signature, f.step_idx AS first_step, h.step_idx AS hit_step FROM h JOIN n f ON f.run_id = h.run_id AND f.signature = h.signature AND f.rn = 1""")
 def first_loop(spark, d):
-    return sequence.first_loop(calls(spark, d), 3)
+    return sequence.first_loop(calls(spark, d, *PLACE, "tool_name", "action"), 3)
 
 
 @query(f"""WITH {_T}, l AS (SELECT * FROM turns1 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY step_idx DESC, turn_id DESC) = 1)
 SELECT run_id, CASE WHEN coalesce(exit_reason, '') NOT IN ('', 'turn_done') THEN exit_reason WHEN coalesce(done, false) THEN 'finished' ELSE 'max_turns' END AS termination FROM l""")
 def termination_status(spark, d):
-    return sequence.termination(turns(spark, d))
+    return sequence.termination(turns(spark, d, "run_id", "step_idx", "exit_reason", "done"))
 
 
 @query(f"""WITH {_T}, {_C}, p AS (SELECT run_id, step_idx, max(CASE WHEN status = 'skipped' THEN 1 ELSE 0 END) AS dead, sum(CASE WHEN status = 'timeout' THEN 1 ELSE 0 END) AS timeouts, max(CASE WHEN status <> 'ok' THEN 1 ELSE 0 END) AS errors FROM calls1 GROUP BY ALL),
@@ -71,30 +76,30 @@ t AS (SELECT run_id, step_idx, max(CASE WHEN done THEN 1 ELSE 0 END) AS done FRO
 b AS (SELECT t.run_id, t.step_idx, dead, timeouts, errors, done, sum(coalesce(timeouts, 0)) OVER (PARTITION BY t.run_id ORDER BY t.step_idx ROWS UNBOUNDED PRECEDING) AS spent FROM t LEFT JOIN p ON p.run_id = t.run_id AND p.step_idx = t.step_idx)
 SELECT run_id, step_idx, CASE WHEN coalesce(dead, 0) = 1 THEN 'terminal_dead' WHEN timeouts > 0 AND spent > 3 THEN 'timeout_budget_exhausted' WHEN done = 1 THEN 'finished' WHEN coalesce(errors, 0) = 1 THEN 'completed_with_tool_errors' ELSE 'completed' END AS exit FROM b""")
 def step_exit_precedence(spark, d):
-    return sequence.step_exit(calls(spark, d), turns(spark, d))
+    return sequence.step_exit(calls(spark, d, "run_id", "step_idx", "status"), turns(spark, d, "run_id", "step_idx", "done"))
 
 
 @query(f"""WITH {_C} SELECT call_id, CASE WHEN coalesce(max(CASE WHEN status = 'timeout' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, step_idx ORDER BY call_idx, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'skipped' ELSE status END AS status FROM calls1""")
 def skipped_fill(spark, d):
-    return sequence.skipped_fill(calls(spark, d))
+    return sequence.skipped_fill(calls(spark, d, *PLACE, "status"))
 
 
 @query(f"""WITH {_T}, s AS (SELECT run_id, step_idx, coalesce(tokens, 0) AS n, sum(coalesce(tokens, 0)) OVER (PARTITION BY run_id ORDER BY step_idx, turn_id ROWS UNBOUNDED PRECEDING) AS e FROM turns1)
 SELECT run_id, step_idx, CAST(e - n AS BIGINT) AS span_start, CAST(least(e, 4096) AS BIGINT) AS span_end FROM s WHERE e - n < 4096""")
 def response_spans(spark, d):
-    return sequence.response_spans(turns(spark, d), 4096)
+    return sequence.response_spans(turns(spark, d, "run_id", "step_idx", "tokens"), 4096)
 
 
 @query(f"""WITH {_T}, s AS (SELECT run_id, coalesce(tokens, 0) AS n, sum(coalesce(tokens, 0)) OVER (PARTITION BY run_id ORDER BY step_idx, turn_id ROWS UNBOUNDED PRECEDING) AS c FROM turns1)
 SELECT run_id, count(*) FILTER (WHERE c < 2048) AS kept_turns, CAST(sum(CASE WHEN c < 2048 THEN n ELSE 0 END) AS BIGINT) AS tokens, max(c >= 2048) AS stopped FROM s GROUP BY run_id""")
 def length_stop(spark, d):
-    return sequence.length_stop(turns(spark, d), 2048)
+    return sequence.length_stop(turns(spark, d, "run_id", "step_idx", "tokens"), 2048)
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
     """Calls as a chat log: search calls play the user, a run's first call the system, others the tool."""
-    c = calls(spark, d)
-    idx = (F.row_number().over(W.partitionBy("run_id").orderBy("step_idx", "call_idx", "call_id")) - 1).cast("long")
+    c = sequence.numbered(calls(spark, d, *PLACE, "tool_name", "observation"), "run_id", ("step_idx", "call_idx", "call_id"), "nth")
+    idx = F.col("nth") - 1
     role = F.when(F.col("idx") == 0, "system").when(F.col("tool_name") == "search", "user").otherwise("tool")
     return c.withColumn("idx", idx).select(F.col("run_id").alias("conv_id"), "idx", role.alias("role"), F.col("observation").alias("content"))
 
@@ -124,7 +129,7 @@ def condense_clip_and_mask(spark, d):
 g AS (SELECT *, sum(nw) OVER (PARTITION BY run_id ORDER BY step_idx, turn_id ROWS UNBOUNDED PRECEDING) AS trajectory FROM f)
 SELECT run_id, CAST(trajectory AS BIGINT) AS trajectory, any_value(source) AS source, count(*) AS turns, min(step_idx) AS first_step FROM g GROUP BY run_id, trajectory""")
 def trajectory_split(spark, d):
-    s = sequence.split_on_change(turns(spark, d), ["source"])
+    s = sequence.split_on_change(turns(spark, d, "run_id", "step_idx", "source"), ["source"])
     return s.groupBy("run_id", "trajectory").agg(F.max("source").alias("source"), F.count("*").alias("turns"), F.min("step_idx").alias("first_step"))
 
 
@@ -160,23 +165,23 @@ def current_step(spark, d):
 
 @query(f"WITH {_C} SELECT run_id, tool_name, round(sum(execution_time), 3) AS seconds, count(*) AS calls FROM calls1 GROUP BY ALL")
 def timer_accumulate(spark, d):
-    return calls(spark, d).groupBy("run_id", "tool_name").agg(F.round(F.sum("execution_time"), 3).alias("seconds"), F.count("*").alias("calls"))
+    return calls(spark, d, "run_id", "tool_name", "execution_time").groupBy("run_id", "tool_name").agg(F.round(F.sum("execution_time"), 3).alias("seconds"), F.count("*").alias("calls"))
 
 
 @query(f"""WITH {_C} SELECT call_id, next_call_id, next_status <> 'ok' AS failed_again FROM (SELECT *, lead(call_id) OVER w AS next_call_id, lead(status) OVER w AS next_status FROM calls1 WINDOW w AS (PARTITION BY run_id, tool_name ORDER BY {_ORD})) WHERE status <> 'ok'""")
 def retry_after_failure(spark, d):
-    return sequence.retries(calls(spark, d))
+    return sequence.retries(calls(spark, d, *PLACE, "tool_name", "status"))
 
 
 @query(f"""WITH {_C}, s AS (SELECT *, {_SIG} AS sig FROM calls1) SELECT * FROM (SELECT call_id, step_idx, lag(step_idx) OVER w AS repeats_step, CAST(row_number() OVER w AS INT) AS nth FROM s WINDOW w AS (PARTITION BY run_id, sig ORDER BY {_ORD})) WHERE nth > 1""")
 def verbatim_repeats(spark, d):
-    return sequence.verbatim_repeats(calls(spark, d))
+    return sequence.verbatim_repeats(calls(spark, d, *PLACE, "tool_name", "action"))
 
 
 @query(f"""WITH {_C}, x AS (SELECT call_id, coalesce(lag(observation) OVER (PARTITION BY run_id ORDER BY {_ORD}), '') AS seen, coalesce(observation, '') AS text FROM calls1)
 SELECT call_id, CASE WHEN starts_with(seen, text) THEN '' WHEN starts_with(text, seen) THEN substr(text, length(seen) + 1) ELSE text END AS fresh FROM x""")
 def fresh_output(spark, d):
-    return sequence.new_output(calls(spark, d))
+    return sequence.new_output(calls(spark, d, *PLACE, "observation"))
 
 
 @query(f"""WITH {_T}, {_C}, l AS (SELECT * FROM turns1 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY step_idx DESC, turn_id DESC) = 1), n AS (SELECT run_id, count(*) AS turns FROM turns1 GROUP BY 1),
@@ -184,12 +189,12 @@ s AS (SELECT run_id, greatest(count(DISTINCT segment_index) - 1, 0) AS c FROM se
 SELECT n.run_id, turns, CASE WHEN coalesce(exit_reason, '') NOT IN ('', 'turn_done') THEN exit_reason WHEN coalesce(done, false) THEN 'finished' ELSE 'max_turns' END AS termination, CAST(coalesce(c, 0) AS BIGINT) AS condensations, coalesce(t, 0.0) AS tool_seconds
 FROM n JOIN l ON l.run_id = n.run_id LEFT JOIN s ON s.run_id = n.run_id LEFT JOIN k ON k.run_id = n.run_id""")
 def run_outcomes(spark, d):
-    return sequence.run_outcomes(turns(spark, d), calls(spark, d), table(spark, d, "segments"))
+    return sequence.run_outcomes(turns(spark, d, "run_id", "step_idx", "exit_reason", "done"), calls(spark, d, "run_id", "execution_time"), table(spark, d, "segments"))
 
 
 @query(f"""WITH {_T} SELECT run_id, arg_min(finish_reason, (step_idx, turn_id)) FILTER (WHERE finish_reason IS NOT NULL) AS first_reason, arg_max(finish_reason, (step_idx, turn_id)) FILTER (WHERE finish_reason IS NOT NULL) AS last_reason, count(*) FILTER (WHERE CASE WHEN finish_reason IN ('length', 'max_tokens') THEN true ELSE false END) AS length_stops FROM turns1 GROUP BY run_id""")
 def finish_reasons(spark, d):
-    t = turns(spark, d)
+    t = turns(spark, d, "run_id", "step_idx", "finish_reason")
     at = F.when(F.col("finish_reason").isNotNull(), F.struct("step_idx", "turn_id"))
     return t.groupBy("run_id").agg(F.min_by("finish_reason", at).alias("first_reason"), F.max_by("finish_reason", at).alias("last_reason"), F.count_if(T.finish_reason(F.col("finish_reason")) == "length").alias("length_stops"))
 
@@ -202,7 +207,7 @@ st AS (SELECT run_id, p[2] AS test, arg_min(p[1], (step_idx, call_idx, call_id,
 
 
 def states(spark: SparkSession, d: str) -> DataFrame:
-    return grading.test_states(calls(spark, d).where("observation is not null"), ["run_id"], "observation", ["step_idx", "call_idx", "call_id"])
+    return grading.test_states(calls(spark, d, *PLACE, "observation").where("observation is not null"), ["run_id"], "observation", ["step_idx", "call_idx", "call_id"])
 
 
 def expected(s: DataFrame) -> DataFrame:
@@ -251,7 +256,7 @@ def report_clip(spark, d):
 @query(f"""WITH {_T}, l AS (SELECT run_id, max(CASE WHEN exit_reason = 'finished' THEN 1 ELSE 0 END) = 1 AS resolved, max(CASE WHEN done THEN 1 ELSE 0 END) = 1 AS completed, avg(CAST(tokens AS DOUBLE)) AS seconds FROM turns1 GROUP BY run_id)
 SELECT count(*) AS total, count(*) FILTER (WHERE resolved) AS resolved, count(*) FILTER (WHERE NOT resolved AND completed) AS wrong_answer, count(*) FILTER (WHERE NOT resolved AND NOT completed) AS time_limit, round(coalesce(avg(seconds), 0), 6) AS mean_seconds, round(CASE WHEN count(*) > 0 THEN 100.0 * count(*) FILTER (WHERE resolved) / count(*) ELSE 0 END, 6) AS rate FROM l""")
 def verify_summary(spark, d):
-    r = turns(spark, d).groupBy("run_id").agg((F.max((F.coalesce(F.col("exit_reason"), F.lit("")) == "finished").cast("int")) == 1).alias("resolved"), (F.max(F.coalesce("done", F.lit(False)).cast("int")) == 1).alias("completed"), F.avg(F.col("tokens").cast("double")).alias("seconds"))
+    r = turns(spark, d, "run_id", "exit_reason", "done", "tokens").groupBy("run_id").agg((F.max((F.coalesce(F.col("exit_reason"), F.lit("")) == "finished").cast("int")) == 1).alias("resolved"), (F.max(F.coalesce("done", F.lit(False)).cast("int")) == 1).alias("completed"), F.avg(F.col("tokens").cast("double")).alias("seconds"))
     return grading.verify_summary(r)
 
 
@@ -259,13 +264,13 @@ def verify_summary(spark, d):
 n AS (SELECT call_id, unnest(list_transform(ls, lambda x: regexp_replace(string_split(substr(x, 5), chr(9))[1], '^b/', ''))) AS f FROM l)
 SELECT call_id, string_agg(DISTINCT f, ',' ORDER BY f) AS files FROM n WHERE f <> '/dev/null' GROUP BY call_id""")
 def modified_files(spark, d):
-    c = calls(spark, d).where("observation like '%+++ %'").select("call_id", grading.diff_files(F.col("observation")).alias("f")).where("size(f) > 0")
+    c = calls(spark, d, "observation").where("observation like '%+++ %'").select("call_id", grading.diff_files(F.col("observation")).alias("f")).where("size(f) > 0")
     return c.select("call_id", F.array_join(F.array_sort("f"), ",").alias("files"))
 
 
 @query(f"""WITH {_C} SELECT call_id, array_to_string(regexp_extract_all(observation, '(?m)^ERROR (\\S+)', 1)[1:3], '; ') AS reason FROM calls1 WHERE regexp_matches(observation, '(?m)^ERROR ')""")
 def abort_reasons(spark, d):
-    c = calls(spark, d)
+    c = calls(spark, d, "observation")
     return c.where(F.col("observation").rlike("(?m)^ERROR ")).select("call_id", grading.abort_reason(F.col("observation")).alias("reason"))
 
 
@@ -374,7 +379,7 @@ def clip_middle(spark, d):
 @query(f"""WITH {_C}, b AS (SELECT call_id, trim(regexp_replace(coalesce(observation, ''), '\\x1b\\[[0-9;]*m|\\r', '', 'g'), ' ') AS t FROM calls1)
 SELECT call_id, 'Observation:' || chr(10) || CASE WHEN t = '' THEN 'The command gave no output.' WHEN length(t) > 400 THEN left(t, 200) || chr(10) || '[... ' || CAST(length(t) - 400 AS VARCHAR) || ' characters elided ...]' || chr(10) || right(t, 200) ELSE t END AS observation FROM b""")
 def observation_format(spark, d):
-    return calls(spark, d).select("call_id", T.format_observation(F.col("observation"), 400).alias("observation"))
+    return calls(spark, d, "observation").select("call_id", T.format_observation(F.col("observation"), 400).alias("observation"))
 
 
 @query("""SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped FROM documents""")
@@ -384,7 +389,7 @@ def xml_escape(spark, d):
 
 @query(f"""WITH {_C} SELECT call_id, CASE WHEN action = '' THEN '''''' WHEN regexp_full_match(action, '[A-Za-z0-9_@%+=:,./-]+') THEN action ELSE '''' || replace(action, '''', '''"''"''') || '''' END AS quoted FROM calls1""")
 def shell_quote(spark, d):
-    return calls(spark, d).select("call_id", T.shell_quote(F.col("action")).alias("quoted"))
+    return calls(spark, d, "action").select("call_id", T.shell_quote(F.col("action")).alias("quoted"))
 
 
 @query("""SELECT delivery_id, CASE WHEN n = '' THEN 'default' ELSE n END AS name FROM (SELECT delivery_id, regexp_replace(regexp_replace(content, '[^a-zA-Z0-9_-]', '_', 'g'), '^_+|_+$', '', 'g') AS n FROM chat_events WHERE content IS NOT NULL)""")
@@ -407,7 +412,7 @@ SELECT turn_id, j ->> '$.name' AS name, j ->> '$.arguments.command' AS command,
 def tool_call_parse(spark, d):
     from runloom.operators.messages import tool_calls
 
-    return tool_calls(turns(spark, d), "turn_id", "response")
+    return tool_calls(turns(spark, d, "response"), "turn_id", "response")
 
 
 # --- monitoring and preparation
@@ -505,7 +510,7 @@ SELECT session_id, seq, event, coalesce(nx, bf) AS phase, nx IS NOT NULL AS acce
 def session_states(spark, d):
     from runloom.streaming.sessions import states as session_fold
 
-    t = turns(spark, d)
+    t = turns(spark, d, "run_id", "step_idx", "exit_reason", "done", "finish_reason")
     event = F.when(F.coalesce(F.col("exit_reason"), F.lit("")) == "finished", "finalize").when(F.coalesce("done", F.lit(False)), "complete").when(F.coalesce("finish_reason", F.lit("")).isin("abort", "aborted"), "abort").otherwise("request")
-    seq = F.row_number().over(W.partitionBy("run_id").orderBy("step_idx", "turn_id"))
-    return session_fold(t.select(F.col("run_id").alias("session_id"), seq.alias("seq"), event.alias("event")))
+    t = sequence.numbered(t, "run_id", ("step_idx", "turn_id"), "seq")
+    return session_fold(t.select(F.col("run_id").alias("session_id"), "seq", event.alias("event")))

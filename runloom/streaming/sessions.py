@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runloom.operators.blocks import place, scan
+
 #: What an event does in a phase: (phase, event) -> next phase; anything else is refused and changes nothing.
 MOVES = {
     ("active", "request"): "active",
@@ -46,15 +48,13 @@ def states(events: DataFrame) -> DataFrame:
             yield pd.DataFrame([(key[0], *r) for r in rows], columns=["session_id", "seq", "event", "phase", "accepted"])
 
         return events.groupBy("session_id").applyInPandasWithState(step, _OUT, "phase string", "append", "NoTimeout")
-    # in batch the first terminal event by order decides, by windows alone
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("session_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    ended = F.coalesce(F.max((F.col("event").isin("finalize", "abort")).cast("int")).over(w), F.lit(0)) == 1
-    done = F.coalesce(F.max((F.col("event") == "complete").cast("int")).over(w), F.lit(0)) == 1
-    final = F.first(F.when(F.col("event").isin("finalize", "abort"), F.col("event")), ignorenulls=True).over(w)
-    before = F.when(ended, F.when(final == "finalize", "finalized").otherwise("aborted")).when(done, "completed").otherwise("active")
-    out = events.select("session_id", F.col("seq").cast("long").alias("seq"), "event", before.alias("before"))
+    # in batch the first terminal event by order decides, and before it whether there was a completion
+    ends = F.col("event").isin("finalize", "abort")
+    x = place(events.select("session_id", F.col("seq").cast("long").alias("seq"), "event"), ["session_id"], "seq")
+    x = scan(x, ["seq"], sums={"ended": ends.cast("int"), "done": (F.col("event") == "complete").cast("int")}, totals={"first_end": ("min", F.when(ends, F.struct("seq", "event")))})
+    x = x.withColumn("ended", F.col("ended") - F.coalesce(ends.cast("int"), F.lit(0))).withColumn("done", F.col("done") - F.coalesce((F.col("event") == "complete").cast("int"), F.lit(0))).withColumn("final", F.col("first_end.event"))
+    before = F.when(F.col("ended") > 0, F.when(F.col("final") == "finalize", "finalized").otherwise("aborted")).when(F.col("done") > 0, "completed").otherwise("active")
+    out = x.select("session_id", "seq", "event", before.alias("before"))
     moves = F.create_map(*[x for k, v in MOVES.items() for x in (F.lit(f"{k[0]}/{k[1]}"), F.lit(v))])
     to = F.try_element_at(moves, F.concat_ws("/", "before", "event"))
     return out.select("session_id", "seq", "event", F.coalesce(to, F.col("before")).alias("phase"), to.isNotNull().alias("accepted"))
