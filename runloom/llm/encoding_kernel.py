@@ -7,7 +7,6 @@ operator in ``mojibake.py`` runs it inside Arrow batches.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from math import log
 
 # Encodings a text is likely to have been misread in, and the ones it is likely to be in.
@@ -69,9 +68,17 @@ _QUOTED = re.compile(r"(?<!`)`[^`\n]{1,24}`(?!`)|�(?=['\"”’»)\]]?\s*\(?U\
 _PLAIN = re.compile(r"(?<=[\x00-\x7f]{2})[\x00-\x7f]+(?=[\x00-\x7f]{2})")
 
 
-@lru_cache(maxsize=65536)
+_rarity: dict[str, float] = {}
+
+
 def _rare_han(ch: str) -> float:
     """0 for the hanzi or kanji of everyday text (level 1 of GB 2312 or JIS X 0208), more for rarer ones."""
+    if ch not in _rarity:
+        _rarity[ch] = _rarity_of(ch)
+    return _rarity[ch]
+
+
+def _rarity_of(ch: str) -> float:
     for codec, last in (("gb2312", 0xD7), ("euc_jp", 0xCF)):
         try:
             b = ch.encode(codec)
@@ -115,8 +122,18 @@ def _cost(text: str, mostly_han: bool) -> float:
     return total
 
 
-#: The same words come back in many texts, and in every grain of one.
-_cost_of_word = lru_cache(maxsize=1 << 17)(_cost)
+#: The same words come back in many texts, and in every grain of one. Plain dicts, as this module is sent by value.
+_costs: dict[tuple[str, bool], float] = {}
+KEPT = 1 << 17
+
+
+def _cost_of_word(text: str, mostly_han: bool) -> float:
+    found = _costs.get((text, mostly_han))
+    if found is None:
+        if len(_costs) >= KEPT:
+            _costs.clear()
+        found = _costs[text, mostly_han] = _cost(text, mostly_han)
+    return found
 
 
 def _encode(piece: str, codec: str) -> bytes | None:

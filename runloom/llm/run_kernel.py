@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from functools import lru_cache
 
 _TOKEN = re.compile(r"'((?:[^'])*)'|\"((?:\\.|[^\"\\])*)\"|(&&|\|\||[|;<>]|\d?>&\d|&)|([^\s'\";|&<>]+)|(\s+)|(.)", re.S)
 #: Values made afresh for each call: times, epochs, universally unique ids and random names of temporary files.
@@ -22,9 +21,22 @@ _FRESH = tuple(
 _OPERATORS = ("&&", "||", "|", ";", "<", ">", "&")
 
 
-@lru_cache(maxsize=200_000)
+#: Actions come back; a plain dict, as this module is sent by value.
+_words: dict[str, tuple[str, ...]] = {}
+KEPT = 200_000
+
+
 def canonical(action: str | None) -> tuple[str, ...]:
     """The words of an action, apart from quotes, blanks, comments, the order of its long options and values made afresh."""
+    found = _words.get(action or "")
+    if found is None:
+        if len(_words) >= KEPT:
+            _words.clear()
+        found = _words[action or ""] = _canonical(action)
+    return found
+
+
+def _canonical(action: str | None) -> tuple[str, ...]:
     words: list[str] = []
     word: str | None = None
     text = action or ""
