@@ -152,3 +152,20 @@ def search_score(prediction: Column, targets: Column) -> Column:
 def reward_value(json_text: Column, plain: Column) -> Column:
     """A reward from a JSON object's field, else from a plain number, else 0."""
     return F.coalesce(F.get_json_object(json_text, "$.reward").try_cast("double"), F.trim(plain).try_cast("double"), F.lit(0.0))
+
+
+def answers(turns: DataFrame, calls: DataFrame, argument: str = "answer", finishing: tuple[str, ...] = ("finish", "submit"), key: str = "run_id") -> DataFrame:
+    """(run_id, answer) of runs that answered: over finished steps from the last, the argument of the response's first JSON call,
+    else what the step's last good finishing call showed, blanks at its ends apart; steps that give neither are passed over.
+
+    A call's arguments may stand under arguments or parameters, and be JSON text themselves."""
+    done = turns.where("exit_reason = 'finished'")
+    block = F.trim(F.regexp_extract("response", r"(?s)<tool_call>(.*?)</tool_call>", 1))
+    v = F.try_parse_json(block)
+    given = F.coalesce(F.try_variant_get(v, "$.arguments", "variant"), F.try_variant_get(v, "$.parameters", "variant"))
+    text = F.try_parse_json(F.try_variant_get(given, "$", "string"))
+    said = F.coalesce(F.try_variant_get(given, f"$.{argument}", "string"), F.try_variant_get(text, f"$.{argument}", "string"))
+    shown = calls.where(F.col("tool_name").isin(*finishing) & (F.col("status") == "ok")).groupBy(key, "step_idx").agg(F.max_by(F.trim("observation"), F.struct("call_idx", "call_id")).alias("shown"))
+    a = done.select(key, "step_idx", "turn_id", said.alias("said")).join(shown, [key, "step_idx"], "left")
+    a = a.select(key, "step_idx", "turn_id", F.coalesce("said", F.nullif("shown", F.lit(""))).alias("answer")).where("answer is not null")
+    return a.groupBy(key).agg(F.max_by("answer", F.struct("step_idx", "turn_id")).alias("answer"))
