@@ -92,6 +92,10 @@ def action_mask(x: Column, names: list[str]) -> Column:
     return x
 
 
+# Backend spellings of finish reasons.
+STOPPED, CUT_OFF = ("completed", "stop", "matched_stop", "eos", "aborted", "abort"), ("length", "max_tokens")
+
+
 def finish_reason(x: Column) -> Column:
     """Backend spellings as stop or length; unknown ones pass, null is stop."""
-    return F.when(x.isNull() | x.isin("completed", "stop", "matched_stop", "eos", "aborted", "abort"), "stop").when(x.isin("length", "max_tokens"), "length").otherwise(x)
+    return F.when(x.isNull() | x.isin(*STOPPED), "stop").when(x.isin(*CUT_OFF), "length").otherwise(x)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from runloom.functions.text import normal_answer, strip_ansi
 from runloom.operators.order import with_index
 
+# States and section markers of logs.
 STATES = ("PASSED", "FAILED", "ERROR", "SKIPPED", "XFAIL")
 START, END = ">>>>> Start Test Output", ">>>>> End Test Output"
 
@@ -119,15 +120,10 @@ def clip_failures(states: DataFrame, key: str = "run_id", most: int = 5) -> Data
 def diff_files(text: Column) -> Column:
     """Files that a diff writes, in order, once each: '+++ ' lines up to a tab, without b/ and /dev/null."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.startswith("+++ "))
-    names = F.transform(lines, lambda x: F.regexp_replace(F.substring_index(F.substring(x, 5, 1 << 20), "\t", 1), "^b/", ""))
+    names = F.transform(lines, lambda x: F.regexp_replace(F.substring_index(F.substring(x, F.lit(5), F.length(x)), "\t", 1), "^b/", ""))
     return F.array_distinct(F.filter(names, lambda x: x != "/dev/null"))
 
 
-def abort_reason(log: Column, most: int = 3) -> Column:
-    """The first ERROR lines of a log joined by '; ', empty without one."""
-    return F.array_join(F.slice(F.regexp_extract_all(log, F.lit(r"(?m)^ERROR (\S+)"), F.lit(1)), F.lit(1), F.lit(most)), "; ")
-
-
 def exact_match(prediction: Column, targets: Column) -> Column:
     """1.0 if any target equals the prediction after normalization; 0.0 for null, or without targets."""
     return F.when(F.coalesce(F.exists(targets, lambda g: normal_answer(g) == normal_answer(prediction)), F.lit(False)), 1.0).otherwise(0.0)

@@ -253,13 +253,6 @@ def report_clip(spark, d):
     return grading.clip_failures(states(spark, d))
 
 
-@query(f"""WITH {_T}, l AS (SELECT run_id, max(CASE WHEN exit_reason = 'finished' THEN 1 ELSE 0 END) = 1 AS resolved, max(CASE WHEN done THEN 1 ELSE 0 END) = 1 AS completed, avg(CAST(tokens AS DOUBLE)) AS seconds FROM turns1 GROUP BY run_id)
-SELECT count(*) AS total, count(*) FILTER (WHERE resolved) AS resolved, count(*) FILTER (WHERE NOT resolved AND completed) AS wrong_answer, count(*) FILTER (WHERE NOT resolved AND NOT completed) AS time_limit, round(coalesce(avg(seconds), 0), 6) AS mean_seconds, round(CASE WHEN count(*) > 0 THEN 100.0 * count(*) FILTER (WHERE resolved) / count(*) ELSE 0 END, 6) AS rate FROM l""")
-def verify_summary(spark, d):
-    r = turns(spark, d, "run_id", "exit_reason", "done", "tokens").groupBy("run_id").agg((F.max((F.coalesce(F.col("exit_reason"), F.lit("")) == "finished").cast("int")) == 1).alias("resolved"), (F.max(F.coalesce("done", F.lit(False)).cast("int")) == 1).alias("completed"), F.avg(F.col("tokens").cast("double")).alias("seconds"))
-    return grading.verify_summary(r)
-
-
 @query(f"""WITH {_C}, l AS (SELECT call_id, list_filter(string_split(observation, chr(10)), lambda x: starts_with(x, '+++ ')) AS ls FROM calls1 WHERE contains(observation, '+++ ')),
 n AS (SELECT call_id, unnest(list_transform(ls, lambda x: regexp_replace(string_split(substr(x, 5), chr(9))[1], '^b/', ''))) AS f FROM l)
 SELECT call_id, string_agg(DISTINCT f, ',' ORDER BY f) AS files FROM n WHERE f <> '/dev/null' GROUP BY call_id""")
@@ -268,12 +261,6 @@ def modified_files(spark, d):
     return c.select("call_id", F.array_join(F.array_sort("f"), ",").alias("files"))
 
 
-@query(f"""WITH {_C} SELECT call_id, array_to_string(regexp_extract_all(observation, '(?m)^ERROR (\\S+)', 1)[1:3], '; ') AS reason FROM calls1 WHERE regexp_matches(observation, '(?m)^ERROR ')""")
-def abort_reasons(spark, d):
-    c = calls(spark, d, "observation")
-    return c.where(F.col("observation").rlike("(?m)^ERROR ")).select("call_id", grading.abort_reason(F.col("observation")).alias("reason"))
-
-
 @query("""SELECT doc_id, source, CAST(row_number() OVER (ORDER BY rn, source) - 1 AS BIGINT) AS pick FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents WHERE source IS NOT NULL)""")
 def round_robin_pick(spark, d):
     return grading.round_robin(table(spark, d, "documents").where("source is not null").select("doc_id", "source"), "source", "doc_id").select("doc_id", "source", "pick")
@@ -346,7 +333,8 @@ def ivf_kmeans(spark, d):
     return retrieval.probe_topk(v.where("id % 20 = 0"), v, retrieval.train_cells(v, 8), 7, 5)
 
 
-@query("SELECT count(*) AS asked, count(*) AS found FROM embeddings WHERE vec_id % 20 = 0")
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
+t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) = 1) SELECT count(*) AS asked, count(*) FILTER (WHERE query_id = vec_id AND score >= 0.99) AS found FROM t""")
 def self_retrieval(spark, d):
     """Every queried vector finds itself first, at a score of 0.99 or more."""
     v = vectors(spark, d)
@@ -489,9 +477,10 @@ def host_join(spark, d):
     return o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+@query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)""")
 def host_anti_join(spark, d):
-    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    """Customers without a large order."""
+    o, c = table(spark, d, "orders").where("o_totalprice > 400000"), table(spark, d, "customer")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 
