@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 from runloom.functions.text import clip_middle
 from runloom.operators import grading
 from runloom.operators.blocks import place, scan
+from runloom.operators.grading import END, START
+from runloom.shipping import by_value
+
+by_value(sys.modules[__name__])
 
 # What a log says when collection broke off, and lines that name a broken file.
 ABORTED = r"Interrupted:\s*\d+\s*errors?\s+during collection"
@@ -89,8 +94,9 @@ def pair_tracebacks(log: str | None) -> dict[str, str] | None:
     neither fits, or for an empty log."""
     if not log:
         return None
-    a, b = log.find(grading.START), log.find(grading.END)
-    lines = (log[a + len(grading.START) : log.find(grading.END, a + len(grading.START))] if a >= 0 and b >= 0 and log.find(grading.END, a + len(grading.START)) >= 0 else log).split("\n")
+    begins = log.find(START)
+    ends = log.find(END, begins + len(START)) if begins >= 0 else -1
+    lines = (log[begins + len(START) : ends] if ends >= 0 else log).split("\n")
     out: dict[str, str] = {}
     for banner, state in (("ERRORS", "ERROR"), ("FAILURES", "FAILED")):
         bodies: list[list[str]] = []
