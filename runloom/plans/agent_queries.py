@@ -318,17 +318,28 @@ def cell_assignment(spark, d):
     return retrieval.assign_cells(v, retrieval.centroids_by_label(v)).select(F.col("id").alias("vec_id"), "cell")
 
 
-@query(f"""WITH {_CELLS}, q AS (SELECT vec_id AS query_id, embedding AS qv, cell FROM (SELECT vec_id, embedding, cell, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_sum(list_transform(list_zip(c, embedding), lambda p: p[1] * CAST(p[2] AS DOUBLE))), 6) DESC, cell) AS r FROM embeddings, c WHERE vec_id % 20 = 0) WHERE r <= 3),
+@query(f"""WITH {_CELLS}, q AS (SELECT vec_id AS query_id, embedding AS qv, cell FROM (SELECT vec_id, embedding, cell, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_sum(list_transform(list_zip(c, embedding), lambda p: p[1] * CAST(p[2] AS DOUBLE))), 6) DESC, cell) AS r FROM embeddings, c WHERE vec_id % 20 = 0) WHERE r <= 8),
 s AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip(qv, embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score FROM q JOIN a ON a.cell = q.cell)
 SELECT query_id, vec_id, score, CAST(rk AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM s) WHERE rk <= 5""")
 def ivf_probe_topk(spark, d):
     v = vectors(spark, d)
-    return retrieval.probe_topk(v.where("id % 20 = 0"), v, retrieval.centroids_by_label(v), 3, 5)
+    return retrieval.probe_topk(v.where("id % 20 = 0"), v, retrieval.centroids_by_label(v), 8, 5)
+
+
+@query("SELECT true AS reached, count(*) AS queries FROM embeddings WHERE vec_id % 20 = 0")
+def ivf_recall(spark, d):
+    """Whether the cells of k-means, probed as ivf_kmeans does, find nine in ten of the five nearest that exact_topk finds."""
+    v = vectors(spark, d)
+    q = v.where("id % 20 = 0")
+    exact = retrieval.exact_topk(q, v, 5).select("query_id", "vec_id")
+    found = ivf_kmeans(spark, d).select("query_id", "vec_id")
+    hits = exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left")
+    return hits.agg((F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count("*")).alias("reached"), F.countDistinct("query_id").alias("queries"))
 
 
 @query()
 def ivf_kmeans(spark, d):
-    """Cells from k-means, as many probed as recall of 0.9 against exact_topk takes; rows only."""
+    """Cells from k-means, as many probed as recall of 0.9 against exact_topk takes; ivf_recall measures it."""
     v = vectors(spark, d)
     return retrieval.probe_topk(v.where("id % 20 = 0"), v, retrieval.train_cells(v, 8), 7, 5)
 
@@ -342,6 +353,28 @@ def self_retrieval(spark, d):
     return t.agg(F.count("*").alias("asked"), F.count_if((F.col("query_id") == F.col("vec_id")) & (F.col("score") >= 0.99)).alias("found"))
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip(qv, embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score FROM q, embeddings),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM s QUALIFY rk <= 3), n AS (SELECT query_id, count(*) AS n, string_agg(rk || '. url: ' || CASE WHEN vec_id % 2 = 0 THEN 'u/' || vec_id ELSE 'No URL provided' END || chr(10) || 'Title: v' || vec_id || chr(10) || 'Snippet: ' || CASE WHEN vec_id % 3 = 0 THEN 'No snippet provided' ELSE 'text ' || vec_id END || chr(10), chr(10) ORDER BY rk) AS l FROM t GROUP BY query_id)
+SELECT query_id, rtrim('Found ' || n || ' results:' || chr(10) || l, chr(10) || ' ') AS text FROM n""")
+def formatted_results(spark, d):
+    """Results as a numbered list, fields missing here and there."""
+    v = vectors(spark, d)
+    n = F.col("vec_id").cast("string")
+    r = retrieval.exact_topk(v.where("id % 20 = 0"), v, 3)
+    r = r.select("query_id", "rank", F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("u/"), n)).alias("url"), F.concat(F.lit("v"), n).alias("title"), F.lit("").alias("content"), F.when(F.col("vec_id") % 3 != 0, F.concat(F.lit("text "), n)).alias("text"), F.lit(None).cast("string").alias("snippet"), F.lit(None).cast("double").alias("score"))
+    return retrieval.format_results(r)
+
+
+@query("""SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'query: v' || vec_id WHEN 1 THEN 'v' || vec_id WHEN 2 THEN 'Represent this sentence for searching relevant passages: v' || vec_id ELSE 'v' || vec_id END AS text, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS length FROM embeddings""")
+def encoder_inputs(spark, d):
+    """Texts as encoders want them, and token vectors pooled: two kept and one masked, which give the vector's direction."""
+    v, m = vectors(spark, d), F.col("id") % 4
+    model = F.when(m == 0, "E5-large").when(m == 1, "bge-m3").when(m == 2, "bge-base").otherwise("dpr")
+    twice = F.transform("v", lambda x: x.cast("double") * 3)
+    p = retrieval.pooled(F.array(F.transform("v", lambda x: x.cast("double")), F.transform("v", lambda x: -x.cast("double")), twice), F.array(F.lit(1), F.lit(0), F.lit(1)))
+    return v.where("v is not null").select(F.col("id").alias("vec_id"), retrieval.query_text(model, F.concat(F.lit("v"), F.col("id").cast("string")), True).alias("text"), F.round(retrieval.inner(p, F.col("v")), 4).alias("length"))
+
+
 @query("""WITH p AS (SELECT repo AS url, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS passages FROM documents WHERE repo IS NOT NULL AND repo <> '' GROUP BY repo), r AS (SELECT DISTINCT repo AS url FROM documents WHERE repo IS NOT NULL UNION ALL SELECT 'no/such-repo'),
 n AS (SELECT CAST(row_number() OVER (ORDER BY url) AS BIGINT) AS pos, url FROM r)
 SELECT pos, n.url, coalesce(passages, '') AS passages, CASE WHEN passages IS NULL THEN 'No passages found for URL: ' || n.url ELSE '' END AS message FROM n LEFT JOIN p ON p.url = n.url""")
