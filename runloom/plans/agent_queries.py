@@ -455,14 +455,11 @@ def dashboard_search(spark, d):
     return monitor.search(run_status(spark, d), "R0000 Verify", F.concat_ws(" ", "run_id", "status"))
 
 
-@query("SELECT run_id, source, byte_offset, any_value(text) AS text FROM run_log WHERE byte_offset >= 1000 AND byte_offset < 3000 GROUP BY ALL")
+@query("SELECT DISTINCT run_id, source, byte_offset, text FROM run_log WHERE byte_offset >= 1000 AND byte_offset + strlen(coalesce(text, '')) + 1 <= 3000")
 def log_page_reverse(spark, d):
     return monitor.page_back(table(spark, d, "run_log"), 3000, 2000)
 
 
-SQL["log_page_reverse"] = "SELECT DISTINCT run_id, source, byte_offset, text FROM run_log WHERE byte_offset >= 1000 AND byte_offset < 3000"
-
-
 @query("SELECT event_id, user_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
 def ring_buffer(spark, d):
     return monitor.newest(table(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 5).select("event_id", "user_id", "ts", "event_type")

@@ -238,9 +238,9 @@ def union_spans(spark, d):
     return samples.union_spans(_segments(spark, d))
 
 
-@query("SELECT o_orderstatus AS grp, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS server FROM orders GROUP BY 1")
+@query("SELECT event_type AS grp, arg_min(event_id, (value, event_id)) AS server FROM events GROUP BY 1")
 def least_loaded(spark, d):
-    return samples.least_loaded(table(spark, d, "orders").select(F.col("o_orderstatus").alias("grp"), "o_totalprice", F.col("o_orderkey").alias("server")), "grp", "o_totalprice", "server")
+    return samples.least_loaded(table(spark, d, "events").select(F.col("event_type").alias("grp"), "value", F.col("event_id").alias("server")), "grp", "value", "server")
 
 
 @query(f"""WITH {_C} SELECT call_id, call_id % 4 < 3 AS waits, CASE WHEN call_id % 3 = 0 THEN 'pytest -q --tb=long x' WHEN call_id % 3 = 1 THEN 'pytest -q --tb=long' ELSE 'make test --tb=no' END AS command,

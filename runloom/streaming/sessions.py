@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runloom.operators.blocks import place, scan
+from runloom.shipping import by_value
+from runloom.streaming.in_order import keyed
+
+by_value(sys.modules[__name__])
 
 #: What an event does in a phase: (phase, event) -> next phase; anything else is refused and changes nothing.
 MOVES = {
@@ -35,19 +38,17 @@ def fold(phase: str, events: list[tuple[int, str]]) -> tuple[str, list[tuple[int
 
 
 def states(events: DataFrame) -> DataFrame:
-    """(session_id, seq, event, phase, accepted) on a stream or in batch; events have session_id, seq, event.
+    """(session_id, seq, event, phase, accepted) on a stream or in batch; events have session_id, seq, event, numbered from 1 in their session.
 
-    State is one word per session. On a stream events of one session have to arrive in order over batches."""
+    State is one word per session, and on a stream the events that wait for one before them."""
     if events.isStreaming:
 
-        def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-            phase = state.get[0] if state.exists else "active"
-            got = [(int(s), str(e)) for b in batches for s, e in zip(b["seq"], b["event"])]
-            phase, rows = fold(phase, got)
-            state.update((phase,))
-            yield pd.DataFrame([(key[0], *r) for r in rows], columns=["session_id", "seq", "event", "phase", "accepted"])
+        def step(state: dict, event: dict) -> tuple[dict, list[dict]]:
+            phase, rows = fold(state["phase"], [(event["seq"], event["event"])])
+            return {"phase": phase}, [dict(zip(("seq", "event", "phase", "accepted"), r)) for r in rows]
 
-        return events.groupBy("session_id").applyInPandasWithState(step, _OUT, "phase string", "append", "NoTimeout")
+        rows = events.select("session_id", F.col("seq").cast("long").alias("seq"), "event")
+        return keyed(rows, "session_id", "seq", step, {"phase": "active"}, _OUT, ["session_id", "seq", "event", "phase", "accepted"])
     # in batch the first terminal event by order decides, and before it whether there was a completion
     ends = F.col("event").isin("finalize", "abort")
     x = place(events.select("session_id", F.col("seq").cast("long").alias("seq"), "event"), ["session_id"], "seq")
