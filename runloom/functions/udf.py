@@ -238,3 +238,72 @@ def occurrence_lines(text: pd.Series, what: pd.Series) -> pd.Series:
         return out
 
     return pd.Series([one(t, w) for t, w in zip(text, what)])
+
+
+@arrow("binary")
+def tar_bytes(files: pd.Series) -> pd.Series:
+    """Archives with members by name, owners and times all zero."""
+    import io
+    import tarfile
+
+    def one(some) -> bytes | None:
+        if some is None:
+            return None
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as tar:
+            for f in sorted(some, key=lambda x: x["path"]):
+                content = bytes(f["content"] or b"")
+                member = tarfile.TarInfo(f["path"])
+                member.size, member.mode = len(content), 0o644
+                tar.addfile(member, io.BytesIO(content))
+        return out.getvalue()
+
+    return pd.Series([one(x) for x in files], dtype="object")
+
+
+def laid_over(base, over):
+    """``over`` on ``base``: objects are merged key by key, anything else is replaced, null too; an empty object changes nothing."""
+    if isinstance(base, dict) and isinstance(over, dict):
+        return base | {k: laid_over(base[k], v) if k in base else v for k, v in over.items()}
+    return over
+
+
+@arrow("string")
+def overlay_json(base: pd.Series, over: pd.Series) -> pd.Series:
+    """One JSON text over another, keys in order; null where the lower one does not parse, the lower one where the upper does not."""
+
+    def one(a: str | None, b: str | None) -> str | None:
+        try:
+            low = json.loads(a)
+        except (TypeError, ValueError):
+            return None
+        try:
+            low = laid_over(low, json.loads(b))
+        except (TypeError, ValueError):
+            pass
+        return json.dumps(low, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+    return pd.Series([one(a, b) for a, b in zip(base, over)], dtype="object")
+
+
+@arrow("array<struct<line:int,depth:int,name:string>>")
+def python_outline(source: pd.Series) -> pd.Series:
+    """Classes and functions of a Python text in order of their lines, with how deep they stand; none where it does not parse."""
+
+    def one(text: str | None) -> list[dict]:
+        try:
+            tree = ast.parse(text or "")
+        except (SyntaxError, ValueError, MemoryError, RecursionError):
+            return []
+        out: list[dict] = []
+        todo = [(tree, 0)]
+        while todo:
+            node, depth = todo.pop()
+            for child in ast.iter_child_nodes(node):
+                named = isinstance(child, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef)
+                if named:
+                    out.append({"line": child.lineno, "depth": depth, "name": child.name})
+                todo.append((child, depth + named))
+        return sorted(out, key=lambda x: x["line"])
+
+    return pd.Series([one(x) for x in source])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +16,7 @@ DEFAULTS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -24,18 +28,30 @@ def session(master: str = "local[*]", app: str = "runloom", **conf: str) -> Spar
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut a plan's lineage through files in the folder that ``spark.checkpoint.dir`` names.
-
-    Only where a session names none, as in tests, a temporary folder is set; a cluster has to name a shared one.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Only where a session names none, as in tests, one is made that goes with the process; a
+    cluster has to name one that all executors share."""
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        known = context._jsc.sc().getCheckpointDir()
+        if not known.isEmpty():
+            return known.get()
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="runloom-checkpoint-")
+        atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing else uses."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut a plan's lineage through files in the shared folder. Sessions made here remove them once nothing refers to them."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="runloom-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)
