@@ -1,4 +1,4 @@
-"""Tool calls in model texts, and messages in one form."""
+"""Messages in one form."""
 
 from __future__ import annotations
 
@@ -6,14 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def tool_calls(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, name, command, timeout): the first call block of a text whose JSON parses. Unclosed, empty and broken blocks are no calls."""
-    block = F.regexp_extract(text_col, r"(?s)<tool_call>\s*(.*?)\s*</tool_call>", 1)
-    v = df.select(id_col, F.try_parse_json(block).alias("v")).where("v is not null")
-    get = lambda p, t: F.try_variant_get("v", p, t)
-    return v.select(id_col, get("$.name", "string").alias("name"), get("$.arguments.command", "string").alias("command"), get("$.arguments.timeout", "int").alias("timeout"))
-
-
 def canonical(arguments: Column) -> Column:
     """JSON text in one form (keys in order); other text as it is, so that only equal broken texts are equal."""
     return F.coalesce(F.to_json(F.try_parse_json(arguments)), arguments)

@@ -82,11 +82,11 @@ CENTROID_BYTES = 1 << 28
 
 
 def _sent_centroids(vectors: DataFrame, centroids: DataFrame):
-    rows = centroids.orderBy("cell").collect()  # as many as the index has cells
+    rows = centroids.where("cell is not null and c is not null").orderBy("cell").collect()  # as many as the index has cells
     if rows and len(rows) * len(rows[0]["c"]) * 8 > CENTROID_BYTES:
         raise ValueError(f"{len(rows)} centroids of {len(rows[0]['c'])} numbers are more than {CENTROID_BYTES} bytes")
     cells = np.array([r["cell"] for r in rows], np.int64)
-    return vectors.sparkSession.sparkContext.broadcast((cells, np.array([r["c"] for r in rows], np.float64).reshape(len(rows), -1)))
+    return vectors.sparkSession.sparkContext.broadcast((cells, np.array([r["c"] for r in rows], np.float64).reshape(len(rows), len(rows[0]["c"]) if rows else 0)))
 
 
 def _nearest(vectors: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
@@ -135,7 +135,10 @@ def train_cells(vectors: DataFrame, cells: int, sample: int = 100_000, seed: int
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    vectors = vectors.where("v is not null")
     n = vectors.count()
+    if not n:
+        return vectors.sparkSession.createDataFrame([], "cell int, c array<double>")
     some = vectors if n <= sample else vectors.sample(fraction=sample / n, seed=seed)
     model = KMeans(k=cells, seed=seed, maxIter=15).fit(some.select(array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("features")))
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]

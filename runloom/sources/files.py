@@ -47,9 +47,9 @@ def corpus(lines: DataFrame, id_col: str, url_col: str, text_col: str) -> DataFr
     return c
 
 
-def shards(spark: SparkSession, path: str) -> DataFrame:
-    """(id text, v) of embedding shards; a file that cannot be read is skipped."""
-    rows = spark.read.option("ignoreCorruptFiles", True).parquet(path)
+def shards(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """(id text, v) of embedding shards (id, embedding); a file that cannot be read is skipped, and a folder without any is empty."""
+    rows = spark.read.schema(f"id {id_type}, embedding array<float>").option("ignoreCorruptFiles", True).parquet(path)
     return rows.select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("v"))
 
 

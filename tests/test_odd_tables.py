@@ -6,7 +6,7 @@ from odd_tables import nulls, write
 from runloom.plans import registry
 
 QUERIES = registry()[0]
-NAMES = [n for n in QUERIES if not n.startswith("host_") and n not in ("ivf_kmeans",)]
+NAMES = [n for n in QUERIES if not n.startswith("host_")]
 
 
 @pytest.fixture(scope="module")
