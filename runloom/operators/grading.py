@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runloom.functions.text import normal_answer, strip_ansi
+from runloom.operators.blocks import place, scan, unplace
 from runloom.operators.order import with_index
 
 # States and section markers of logs.
@@ -113,8 +114,10 @@ def verify_summary(results: DataFrame) -> DataFrame:
 def clip_failures(states: DataFrame, key: str = "run_id", most: int = 5) -> DataFrame:
     """(key, failing, shown, omitted): the first failing tests by name and how many more there are."""
     f = states.where("status in ('FAILED', 'ERROR')")
-    ranked = f.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy("test")))
-    return ranked.groupBy(key).agg(F.count("*").alias("failing"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= most, F.struct("rn", "test")))), lambda s: s["test"]), ",").alias("shown"), F.greatest(F.count("*") - most, F.lit(0)).cast("long").alias("omitted"))
+    first = f.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy("test"))).where(F.col("rn") <= most)
+    named = first.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("test")), ",").alias("shown"))
+    n = f.groupBy(key).agg(F.count("*").alias("failing"))
+    return n.join(named, key).select(key, "failing", "shown", F.greatest(F.col("failing") - most, F.lit(0)).cast("long").alias("omitted"))
 
 
 def diff_files(text: Column) -> Column:
@@ -130,15 +133,15 @@ def exact_match(prediction: Column, targets: Column) -> Column:
 
 
 def round_robin(df: DataFrame, group: str, order: str) -> DataFrame:
-    """``df`` with pick: its place when groups are asked in turn, each for its next row."""
-    rn = df.withColumn("rn", F.row_number().over(W.partitionBy(group).orderBy(order)))
+    """``df`` with pick: its place when groups are asked in turn, each for its next row. ``order`` is a number."""
+    rn = unplace(scan(place(df, [group], order, 1 << 16), [order], sums={"rn": F.lit(1).cast("long")}))
     return with_index(rn, "rn", group, name="pick").drop("rn")
 
 
 def greedy_budget(blocks: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
-    """Blocks of each key in order, up to the first that does not fit the budget."""
-    so_far = F.sum(size).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return blocks.withColumn("used", so_far).where(F.col("used") <= budget)
+    """Blocks of each key in order, a number, up to the first that does not fit the budget."""
+    so_far = unplace(scan(place(blocks, [key], order, 1 << 16), [order], sums={"used": F.col(size).cast("long")}))
+    return so_far.where(F.col("used") <= budget)
 
 
 def search_score(prediction: Column, targets: Column) -> Column:
