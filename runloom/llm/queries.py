@@ -91,6 +91,15 @@ def p1_texts(spark: SparkSession, d: str) -> DataFrame:
     return p1_report(spark, d).select("field", "source", "texts")
 
 
+def p1_planted(spark: SparkSession, d: str) -> DataFrame:
+    """One sentence for each document, of which every twentieth is cut somewhere inside a word; those found."""
+    head = F.concat(F.lit("The parser of module "), F.col("doc_id").cast("string"), F.lit(" keeps its "))
+    left = F.expr("3 + doc_id div 20 % 9").cast("int")
+    text = F.concat(head, F.when(F.col("doc_id") % 20 == 0, F.left(F.lit("configuration"), left)).otherwise("configuration under load."))
+    x = table(spark, d, "documents").select(F.lit("text").alias("field"), F.col("doc_id").alias("record_id"), F.lit("made").alias("source"), text.alias("text"))
+    return truncation.find_truncated(x).where("truncated").select(F.col("record_id").alias("doc_id")).distinct()
+
+
 def p2_totals(spark: SparkSession, d: str) -> DataFrame:
     """Pieces and tokens of each kind of container, that none is overfull, and that room for less than one in a hundred is unused but in the last."""
     p = p2_pack(spark, d)
@@ -130,9 +139,20 @@ def p7_limits(spark: SparkSession, d: str) -> DataFrame:
     return j.join(goals.select("source"), "source").select("source", F.coalesce("available", F.lit(0)).alias("available"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"), met.alias("share_met"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_texts, p2_pack, p2_fill, p2_totals, p3_found, p3_events, p3_near, p3_totals, p6_found, p6_items, p6_contained, p7_mix, p7_shares, p7_limits, p8_found, p8_repair)}
+def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A sentence for each document, read in the wrong encoding once or twice, restored."""
+    n = F.col("doc_id").cast("string")
+    wrong = lambda x: F.decode(F.encode(x, "UTF-8"), "ISO-8859-1")
+    once = wrong(F.concat(F.lit("Die Prüfung der Größe "), n, F.lit(" läuft über Nacht.")))
+    x = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, once).otherwise(wrong(once)).alias("text"))
+    return mojibake.repair(x).select("doc_id", "restored_text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_texts, p1_planted, p2_pack, p2_fill, p2_totals, p3_found, p3_events, p3_near, p3_totals, p6_found, p6_items, p6_contained, p7_mix, p7_shares, p7_limits, p8_found, p8_repair, p8_roundtrip)}
 SQL = {
     "p1_texts": """SELECT 'response' AS field, source, count(DISTINCT turn_id) AS texts FROM turns WHERE trim(response, ' ') <> '' GROUP BY ALL UNION ALL SELECT 'observation', source, count(DISTINCT call_id) FROM tool_results WHERE trim(observation, ' ') <> '' GROUP BY ALL""",
+    "p1_planted": "SELECT DISTINCT doc_id FROM documents WHERE doc_id % 20 = 0",
+    "p8_roundtrip": "SELECT doc_id, 'Die Prüfung der Größe ' || doc_id || ' läuft über Nacht.' AS restored_text FROM documents",
     "p2_totals": """WITH s AS (SELECT coalesce(len(prompt_ids), 0) + coalesce(len(response_ids), 0) AS n FROM segments) SELECT container, capacity, CAST(sum(greatest(ceil(n / capacity), 1)) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS tokens, true AS none_overfull, true AS tight FROM s, pack_limits GROUP BY ALL""",
     "p3_totals": """SELECT run_id, count(DISTINCT call_id) AS calls, min(step_idx) AS first_step, max(step_idx) AS last_step, true AS none_again FROM tool_results WHERE run_id IS NOT NULL GROUP BY run_id""",
     "p6_contained": r"""WITH d AS (SELECT DISTINCT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents), i AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS i FROM eval_items) SELECT DISTINCT doc_id, item_id FROM d, i WHERE contains(t, i)""",
