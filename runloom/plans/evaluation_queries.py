@@ -99,7 +99,7 @@ def traceback_pairs(spark, d):
     """Tracebacks of logs made of each call's failed tests, paired with their names by order."""
     tests = F.regexp_extract_all("observation", F.lit(r"(?m)^FAILED (\S+)$"), F.lit(1))
     c = calls(spark, d, "observation").where("observation is not null").select("call_id", tests.alias("l")).where((F.size("l") > 0) & (F.size("l") == F.size(F.array_distinct("l"))))
-    bodies = F.array_join(F.transform("l", lambda t, i: F.concat(F.lit("____ "), F.substring_index(t, "::", -1), F.lit(" ____\nline "), (i + 1).cast("string"), F.lit("\n"))), "\n")
+    bodies = F.array_join(F.transform("l", lambda t, i: F.concat(F.lit("____ "), t, F.lit(" ____\nline "), (i + 1).cast("string"), F.lit("\n"))), "\n")
     summary = F.array_join(F.transform("l", lambda t: F.concat(F.lit("FAILED "), t, F.lit(" - boom"))), "\n")
     log = F.concat(F.lit(grading.START + "\nstart\n===== FAILURES =====\n"), bodies, F.lit("\n===== short test summary =====\n"), summary, F.lit("\n" + grading.END))
     return evaluation.tracebacks(c.select("call_id", log.alias("log")), "call_id", "log")
