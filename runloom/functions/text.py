@@ -20,11 +20,16 @@ def clip(x: Column, n: int) -> Column:
     return F.when(F.length(x) > n, F.concat(F.left(x, F.lit(n)), F.lit("..."))).otherwise(x)
 
 
-def clip_middle(x: Column, cap: int) -> Column:
-    """Both ends of a longer text around a note of what was left out."""
+#: Notes of what a middle clip left out, by where they are used; {n} is the number of characters.
+NOTES = {"observation": "\n[... {n} characters elided ...]\n", "turn": "\n[... {n} chars elided ...]\n", "traceback": "\n[... {n} chars elided from the middle ...]\n"}
+
+
+def clip_middle(x: Column, cap: int, note: str = NOTES["observation"], even: bool = False) -> Column:
+    """Both ends of a longer text around a note of what was left out; ``even`` takes half the cap, rounded down, of either end."""
     head = cap // 2
-    note = F.concat(F.lit("\n[... "), (F.length(x) - cap).cast("string"), F.lit(" characters elided ...]\n"))
-    return F.when(F.length(x) > cap, F.concat(F.left(x, F.lit(head)), note, F.right(x, F.lit(cap - head)))).otherwise(x)
+    before, after = note.split("{n}") if "{n}" in note else (note, None)
+    said = F.lit(before) if after is None else F.concat(F.lit(before), (F.length(x) - cap).cast("string"), F.lit(after))
+    return F.when(F.length(x) > cap, F.concat(F.left(x, F.lit(head)), said, F.right(x, F.lit(head if even else cap - head)))).otherwise(x)
 
 
 def format_observation(x: Column, cap: int, empty: str = "The command gave no output.") -> Column:
@@ -39,6 +44,13 @@ def xml_escape(x: Column) -> Column:
     return x
 
 
+def html_escape(x: Column) -> Column:
+    """The three characters that a page's text cannot hold."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
 def shell_quote(x: Column) -> Column:
     """A word as a POSIX shell reads it back."""
     return F.when(x == "", F.lit("''")).when(x.rlike(r"^[A-Za-z0-9_@%+=:,./-]+$"), x).otherwise(F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("'\"'\"'")), F.lit("'")))

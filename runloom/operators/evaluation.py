@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runloom.functions.text import clip_middle
+from runloom.functions.text import NOTES, clip_middle
 from runloom.operators import grading
 from runloom.operators.blocks import place, scan
 from runloom.operators.grading import END, START
@@ -247,4 +247,4 @@ def average_at_n(rollouts: DataFrame, task: str, passed: str) -> DataFrame:
 
 def raw_output(log: Column, cap: int = 2000) -> Column:
     """What a log shows between its markers, or all of it, both ends of a long one; null if blank."""
-    return F.nullif(clip_middle(F.trim(grading.section(log, True)), cap), F.lit(""))
+    return F.nullif(clip_middle(F.trim(grading.section(log, True)), cap, NOTES["traceback"]), F.lit(""))

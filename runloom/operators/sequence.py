@@ -236,9 +236,15 @@ def split_response(ids: Column, mask: Column, prompt_most: int, response_most: i
     return F.struct(prompt.alias("prompt"), response.alias("response"))
 
 
-def run_outcomes(turns: DataFrame, calls: DataFrame, segments: DataFrame) -> DataFrame:
-    """Per run: turns, termination, condensations (segments - 1), tool seconds."""
+def run_outcomes(turns: DataFrame, calls: DataFrame, segments: DataFrame, resolved: DataFrame | None = None, hints: DataFrame | None = None) -> DataFrame:
+    """Per run: turns, termination, condensations (segments - 1), tool seconds, whether it is among ``resolved`` (run_id), and how many of its turns have ``hints`` (run_id, step_idx)."""
     t = turns.groupBy("run_id").agg(F.count("*").alias("turns")).join(termination(turns), "run_id")
     s = segments.groupBy("run_id").agg(F.greatest(F.countDistinct("segment_index") - 1, F.lit(0)).alias("condensations"))
     c = calls.groupBy("run_id").agg(F.round(F.sum("execution_time"), 3).alias("tool_seconds"))
-    return t.join(s, "run_id", "left").join(c, "run_id", "left").select("run_id", "turns", "termination", F.coalesce("condensations", F.lit(0)).cast("long").alias("condensations"), F.coalesce("tool_seconds", F.lit(0.0)).alias("tool_seconds"))
+    out = t.join(s, "run_id", "left").join(c, "run_id", "left")
+    out = out.join(resolved.select("run_id").distinct().withColumn("_solved", F.lit(True)), "run_id", "left") if resolved is not None else out.withColumn("_solved", F.lit(False))
+    out = out.join(hints.groupBy("run_id").agg(F.countDistinct("step_idx").alias("_hinted")), "run_id", "left") if hints is not None else out.withColumn("_hinted", F.lit(0))
+    return out.select(
+        "run_id", "turns", "termination", F.coalesce("condensations", F.lit(0)).cast("long").alias("condensations"), F.coalesce("tool_seconds", F.lit(0.0)).alias("tool_seconds"),
+        F.coalesce("_solved", F.lit(False)).alias("resolved"), F.coalesce("_hinted", F.lit(0)).cast("long").alias("hinted_turns"),
+    )

@@ -186,10 +186,12 @@ def fresh_output(spark, d):
 
 @query(f"""WITH {_T}, {_C}, l AS (SELECT * FROM turns1 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY step_idx DESC, turn_id DESC) = 1), n AS (SELECT run_id, count(*) AS turns FROM turns1 GROUP BY 1),
 s AS (SELECT run_id, greatest(count(DISTINCT segment_index) - 1, 0) AS c FROM segments GROUP BY 1), k AS (SELECT run_id, round(sum(execution_time), 3) AS t FROM calls1 GROUP BY 1)
-SELECT n.run_id, turns, CASE WHEN coalesce(exit_reason, '') NOT IN ('', 'turn_done') THEN exit_reason WHEN coalesce(done, false) THEN 'finished' ELSE 'max_turns' END AS termination, CAST(coalesce(c, 0) AS BIGINT) AS condensations, coalesce(t, 0.0) AS tool_seconds
+SELECT n.run_id, turns, CASE WHEN coalesce(exit_reason, '') NOT IN ('', 'turn_done') THEN exit_reason WHEN coalesce(done, false) THEN 'finished' ELSE 'max_turns' END AS termination, CAST(coalesce(c, 0) AS BIGINT) AS condensations, coalesce(t, 0.0) AS tool_seconds, n.run_id IN (SELECT run_id FROM turns1 WHERE exit_reason = 'finished') AS resolved, coalesce((SELECT count(DISTINCT step_idx) FROM turns1 h WHERE h.run_id = n.run_id AND h.step_idx % 7 = 0), 0) AS hinted_turns
 FROM n JOIN l ON l.run_id = n.run_id LEFT JOIN s ON s.run_id = n.run_id LEFT JOIN k ON k.run_id = n.run_id""")
 def run_outcomes(spark, d):
-    return sequence.run_outcomes(turns(spark, d, "run_id", "step_idx", "exit_reason", "done"), calls(spark, d, "run_id", "execution_time"), table(spark, d, "segments"))
+    """Runs as records; those that finished count as resolved, every seventh step as hinted."""
+    t = turns(spark, d, "run_id", "step_idx", "exit_reason", "done")
+    return sequence.run_outcomes(t, calls(spark, d, "run_id", "execution_time"), table(spark, d, "segments"), t.where("exit_reason = 'finished'"), t.where("step_idx % 7 = 0"))
 
 
 @query(f"""WITH {_T} SELECT run_id, arg_min(finish_reason, (step_idx, turn_id)) FILTER (WHERE finish_reason IS NOT NULL) AS first_reason, arg_max(finish_reason, (step_idx, turn_id)) FILTER (WHERE finish_reason IS NOT NULL) AS last_reason, count(*) FILTER (WHERE CASE WHEN finish_reason IN ('length', 'max_tokens') THEN true ELSE false END) AS length_stops FROM turns1 GROUP BY run_id""")
@@ -392,6 +394,14 @@ def clip_middle(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clip_middle(F.col("text"), 200).alias("clipped"))
 
 
+@query("""SELECT doc_id, CASE WHEN length(text) > 101 THEN left(text, 50) || chr(10) || '[... ' || (length(text) - 101) || ' chars elided ...]' || chr(10) || right(text, 51) ELSE text END AS turn, CASE WHEN length(text) > 101 THEN left(text, 50) || chr(10) || '[... ' || (length(text) - 101) || ' chars elided from the middle ...]' || chr(10) || right(text, 51) ELSE text END AS traceback,
+ CASE WHEN length(text) > 101 THEN left(text, 50) || ' [... TRUNCATED ...] ' || right(text, 50) ELSE text END AS history, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM documents""")
+def clip_variants(spark, d):
+    """The other middle clips, and texts as a page holds them."""
+    x = F.col("text")
+    return table(spark, d, "documents").select("doc_id", T.clip_middle(x, 101, T.NOTES["turn"]).alias("turn"), T.clip_middle(x, 101, T.NOTES["traceback"]).alias("traceback"), T.clip_middle(x, 101, sequence.CLIP_MARK, True).alias("history"), T.html_escape(x).alias("html"))
+
+
 @query(f"""WITH {_C}, b AS (SELECT call_id, trim(regexp_replace(coalesce(observation, ''), '\\x1b\\[[0-9;]*m|\\r', '', 'g'), ' ') AS t FROM calls1)
 SELECT call_id, 'Observation:' || chr(10) || CASE WHEN t = '' THEN 'The command gave no output.' WHEN length(t) > 400 THEN left(t, 200) || chr(10) || '[... ' || CAST(length(t) - 400 AS VARCHAR) || ' characters elided ...]' || chr(10) || right(t, 200) ELSE t END AS observation FROM b""")
 def observation_format(spark, d):

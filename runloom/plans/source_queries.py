@@ -47,6 +47,14 @@ def index_written(spark, d):
     return files.shards(spark, path).select("id", F.size("v").cast("long").alias("width"))
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS run_id, event_id FROM events WHERE event_type IN ('error', 'click') AND user_id IS NOT NULL")
+def run_files(spark, d):
+    """Events of some kinds written to a folder for each user and read back."""
+    path, e = scratch(spark, "runs"), table(spark, d, "events").where("user_id is not null")
+    files.write_runs(e.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("severity"), "event_id"), path, ["error", "click"])
+    return spark.read.schema("severity string, event_id long, run_id string").json(path).select("run_id", "event_id")
+
+
 @query("SELECT event_id, event_type FROM events WHERE event_id > 5000")
 def events_after(spark, d):
     """What a reader who has seen 5,000 events gets."""
