@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,10 +34,17 @@ def clip_middle(x: Column, cap: int, note: str = NOTES["observation"], even: boo
     return F.when(F.length(x) > cap, F.concat(F.left(x, F.lit(head)), said, F.right(x, F.lit(head if even else cap - head)))).otherwise(x)
 
 
-def format_observation(x: Column, cap: int, empty: str = "The command gave no output.") -> Column:
-    """An observation as a model reads it: no colour codes, both ends of a long one, a sentence for an empty one."""
-    body = F.trim(strip_ansi(F.coalesce(x, F.lit(""))))
-    return F.concat(F.lit("Observation:\n"), F.when(body == "", F.lit(empty)).otherwise(clip_middle(body, cap)))
+# How an observation is shown to a model.
+NO_OUTPUT = "Your command ran successfully and did not produce any output."
+CLIPPED = "\n<response clipped: {n} characters elided from the middle>\n"
+CLIP_ADVICE = "\n<NOTE>Observation exceeded {cap} characters. Run a command that produces less output, or pipe through head/tail/grep or redirect to a file. Do not use interactive pagers.</NOTE>"
+
+
+def format_observation(x: Column, cap: int, empty: str = NO_OUTPUT) -> Column:
+    """An observation as a model reads it: no colour codes, both ends of a long one with notes, under a heading; for an empty one a sentence alone."""
+    body = F.regexp_replace(strip_ansi(F.coalesce(x, F.lit(""))), r"^\s+|\s+$", "")
+    advice = F.when(F.length(body) > cap, CLIP_ADVICE.replace("{cap}", str(cap))).otherwise("")
+    return F.when(body == "", F.lit(empty)).otherwise(F.concat(F.lit("Observation:\n"), clip_middle(body, cap, CLIPPED), advice))
 
 
 def xml_escape(x: Column) -> Column:
@@ -111,3 +120,9 @@ STOPPED, CUT_OFF = ("completed", "stop", "matched_stop", "eos", "aborted", "abor
 def finish_reason(x: Column) -> Column:
     """Backend spellings as stop or length; unknown ones pass, null is stop."""
     return F.when(x.isNull() | x.isin(*STOPPED), "stop").when(x.isin(*CUT_OFF), "length").otherwise(x)
+
+
+def fill(template: str, **values: Column) -> Column:
+    """A template with its {names} replaced by columns; a name without a column is an error."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.lit(x) if i % 2 == 0 else values[x].cast("string") for i, x in enumerate(parts)])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runloom.functions.text import NOTES, clip_middle
+from runloom.functions.text import NOTES, clip_middle, fill
 from runloom.operators import grading
 from runloom.operators.blocks import place, scan
 from runloom.operators.grading import END, START
@@ -177,12 +177,6 @@ ABORT_MODE = "No test ran: pytest aborted during collection because a file faile
 CUT_NOTE = "\n[... feedback truncated ...]"
 
 
-def fill(template: str, **values: Column) -> Column:
-    """A template with its {names} replaced by columns; a name without a column is an error."""
-    parts = re.split(r"\{(\w+)\}", template)
-    return F.concat(*[F.lit(x) if i % 2 == 0 else values[x].cast("string") for i, x in enumerate(parts)])
-
-
 def failure_mode(abort: Column, patch: Column, apply_failed: Column, completed: Column, found: Column) -> Column:
     """The first of: collection abort, empty patch, patch that did not apply, evaluation not completed, nothing parsed; null if none."""
     told = F.when(F.trim(patch) == "", MODES["empty_patch"]).when(F.coalesce(apply_failed, F.lit(False)), MODES["patch_apply_failed"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runloom.functions.text import clip_middle
+from runloom.functions.text import NOTES, clip_middle, fill
 from runloom.operators.blocks import place, scan
 
 EDITOR = "str_replace_editor"
@@ -127,13 +127,18 @@ def select_edits(edits: DataFrame, select: str = "first", most: int = 1) -> Data
     return edits.where(good).withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most).drop("_nth")
 
 
-def turn_text(step: Column, tokens: Column, response: Column, tools: Column, observation_cap: int | None = 1000, response_cap: int | None = None) -> Column:
+# How a turn and its tools are shown.
+TURN, TOOL, NO_TOOLS = "### Turn {step}\nASSISTANT:\n{response}\n{tools}", "TOOL {name}:\n{observation}", "(no tool calls)"
+DEGENERATE = "(degenerate turn: the model emitted almost no output and no tool call) "
+
+
+def turn_text(step: Column, response: Column, tools: Column, observation_cap: int | None = 1000, response_cap: int | None = None) -> Column:
     """A turn as one text; ``tools`` an array of struct(name, observation). A turn without tools and of hardly any words is said to be one."""
-    cut = lambda x, cap: clip_middle(x, cap) if cap else x
+    cut = lambda x, cap: clip_middle(x, cap, NOTES["turn"]) if cap else x
     bare = (F.size(tools) == 0) & (F.length(F.trim(response)) < 20)
-    said = F.when(bare, F.concat(F.lit("(degenerate turn: the model emitted almost no output and no tool call) '"), response, F.lit("'"))).otherwise(cut(response, response_cap))
-    used = F.array_join(F.transform(tools, lambda t: F.concat(F.lit("["), t["name"], F.lit("] "), cut(F.coalesce(t["observation"], F.lit("")), observation_cap))), "\n")
-    return F.concat(F.lit("### turn "), step.cast("string"), F.lit(" ("), F.coalesce(tokens.cast("string"), F.lit("?")), F.lit(" tokens)\n"), said, F.lit("\n"), F.when(F.size(tools) > 0, used).otherwise("(no tool calls)"))
+    said = F.when(bare, F.concat(F.lit(DEGENERATE + "'"), response, F.lit("'"))).otherwise(cut(response, response_cap))
+    used = F.array_join(F.transform(tools, lambda t: fill(TOOL, name=t["name"], observation=cut(F.coalesce(t["observation"], F.lit("")), observation_cap))), "\n")
+    return fill(TURN, step=step, response=said, tools=F.when(F.size(tools) > 0, used).otherwise(NO_TOOLS))
 
 
 def prefixes(turns: DataFrame, asked: DataFrame) -> DataFrame:

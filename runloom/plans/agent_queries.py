@@ -402,8 +402,8 @@ def clip_variants(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clip_middle(x, 101, T.NOTES["turn"]).alias("turn"), T.clip_middle(x, 101, T.NOTES["traceback"]).alias("traceback"), T.clip_middle(x, 101, sequence.CLIP_MARK, True).alias("history"), T.html_escape(x).alias("html"))
 
 
-@query(f"""WITH {_C}, b AS (SELECT call_id, trim(regexp_replace(coalesce(observation, ''), '\\x1b\\[[0-9;]*m|\\r', '', 'g'), ' ') AS t FROM calls1)
-SELECT call_id, 'Observation:' || chr(10) || CASE WHEN t = '' THEN 'The command gave no output.' WHEN length(t) > 400 THEN left(t, 200) || chr(10) || '[... ' || CAST(length(t) - 400 AS VARCHAR) || ' characters elided ...]' || chr(10) || right(t, 200) ELSE t END AS observation FROM b""")
+@query(rf"""WITH {_C}, b AS (SELECT call_id, regexp_replace(regexp_replace(coalesce(observation, ''), '\x1b\[[0-9;]*m|\r', '', 'g'), '^\s+|\s+$', '', 'g') AS t FROM calls1)
+SELECT call_id, CASE WHEN t = '' THEN '{T.NO_OUTPUT}' WHEN length(t) > 400 THEN 'Observation:' || chr(10) || left(t, 200) || chr(10) || '<response clipped: ' || (length(t) - 400) || ' characters elided from the middle>' || chr(10) || right(t, 200) || chr(10) || '{T.CLIP_ADVICE[1:].replace("{cap}", "400")}' ELSE 'Observation:' || chr(10) || t END AS observation FROM b""")
 def observation_format(spark, d):
     return calls(spark, d, "observation").select("call_id", T.format_observation(F.col("observation"), 400).alias("observation"))
 

@@ -75,16 +75,17 @@ def edits_selected(spark, d):
 
 
 _CLIP = "CASE WHEN length({0}) > {1} THEN left({0}, {1} // 2) || chr(10) || '[... ' || (length({0}) - {1}) || ' characters elided ...]' || chr(10) || right({0}, {1} - {1} // 2) ELSE {0} END"
-_TOOLS = f"tl AS (SELECT run_id, step_idx, string_agg('[' || coalesce(tool_name, '') || '] ' || {_CLIP.format('coalesce(observation, chr(32))', 60).replace('chr(32)', repr(''))}, chr(10) ORDER BY call_idx, call_id) AS used FROM calls1 GROUP BY ALL)"
-_TURN = f"""tx AS (SELECT turn_id, t.run_id, t.step_idx, '### turn ' || t.step_idx || ' (' || coalesce(CAST(tokens AS VARCHAR), '?') || ' tokens)' || chr(10) || CASE WHEN used IS NULL AND length(trim(coalesce(response, ''))) < 20 THEN '(degenerate turn: the model emitted almost no output and no tool call) ''' || coalesce(response, '') || '''' ELSE {_CLIP.format("coalesce(response, '')", 80)} END || chr(10) || coalesce(used, '(no tool calls)') AS text FROM turns1 t LEFT JOIN tl ON tl.run_id = t.run_id AND tl.step_idx = t.step_idx)"""
+_TURN_CLIP = _CLIP.replace("characters elided", "chars elided")
+_TOOLS = f"tl AS (SELECT run_id, step_idx, string_agg('TOOL ' || coalesce(tool_name, '') || ':' || chr(10) || {_TURN_CLIP.format('obs', 60)}, chr(10) ORDER BY call_idx, call_id) AS used FROM (SELECT *, coalesce(observation, '') AS obs FROM calls1) GROUP BY run_id, step_idx)"
+_TURN = f"""tx AS (SELECT turn_id, t.run_id, t.step_idx, '### Turn ' || t.step_idx || chr(10) || 'ASSISTANT:' || chr(10) || CASE WHEN used IS NULL AND length(trim(said)) < 20 THEN '(degenerate turn: the model emitted almost no output and no tool call) ''' || said || '''' ELSE {_TURN_CLIP.format("said", 80)} END || chr(10) || coalesce(used, '(no tool calls)') AS text FROM (SELECT *, coalesce(response, '') AS said FROM turns1) t LEFT JOIN tl ON tl.run_id = t.run_id AND tl.step_idx = t.step_idx)"""
 
 
 def _turn_texts(spark, d):
     name = F.coalesce("tool_name", F.lit(""))
     used = calls(spark, d, *PLACE, "tool_name", "observation").groupBy("run_id", "step_idx").agg(F.array_sort(F.collect_list(F.struct("call_idx", "call_id", name.alias("name"), "observation"))).alias("tools"))
-    t = turns(spark, d, "run_id", "step_idx", "tokens", "response").join(used, ["run_id", "step_idx"], "left")
+    t = turns(spark, d, "run_id", "step_idx", "response").join(used, ["run_id", "step_idx"], "left")
     tools = F.coalesce(F.transform("tools", lambda x: F.struct(x["name"].alias("name"), x["observation"].alias("observation"))), F.array().cast("array<struct<name:string,observation:string>>"))
-    return t.select("turn_id", "run_id", "step_idx", reflection.turn_text(F.col("step_idx"), F.col("tokens"), F.coalesce("response", F.lit("")), tools, 60, 80).alias("text"))
+    return t.select("turn_id", "run_id", "step_idx", reflection.turn_text(F.col("step_idx"), F.coalesce("response", F.lit("")), tools, 60, 80).alias("text"))
 
 
 @query(f"WITH {_T}, {_C}, {_TOOLS}, {_TURN} SELECT turn_id, text FROM tx")

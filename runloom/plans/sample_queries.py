@@ -37,9 +37,7 @@ def head_limit(spark, d):
 
 @query("""SELECT doc_id, '<issue>' || chr(10) || coalesce(title, '') || chr(10) || '</issue>' || chr(10) || 'In ' || coalesce(repo, '') || '.' AS prompt FROM documents""")
 def prompts(spark, d):
-    from runloom.operators.evaluation import fill
-
-    return table(spark, d, "documents").select("doc_id", fill("<issue>\n{problem}\n</issue>\nIn {repo}.", problem=F.coalesce("title", F.lit("")), repo=F.coalesce("repo", F.lit(""))).alias("prompt"))
+    return table(spark, d, "documents").select("doc_id", T.fill("<issue>\n{problem}\n</issue>\nIn {repo}.", problem=F.coalesce("title", F.lit("")), repo=F.coalesce("repo", F.lit(""))).alias("prompt"))
 
 
 @query("SELECT delivery_id FROM chat_events WHERE coalesce(chat_id, '') <> '' AND coalesce(message_id, '') <> '' AND coalesce(sender_id, '') <> ''")
