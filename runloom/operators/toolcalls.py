@@ -16,7 +16,8 @@ from runloom.functions.text import shell_quote
 Tools = dict[str, dict[str, str]]
 MASK = "<MASKED>"
 
-_CALL = "array<struct<name:string,arguments:string,error:string>>"
+# Tools whose command line is not built from their arguments, and what ends a run.
+FINISH, SHELL, CLI, END_MARK = "submit", "execute_bash", "lark-cli", "echo '<<<Finished>>>'"
 
 
 def _is_text(v: Column) -> Column:
@@ -161,14 +162,14 @@ def structured_calls(df: DataFrame, id_col: str, json_col: str, tools: list[str]
 def shell_command(name: Column, arguments: Column) -> Column:
     """The command line of a call; ``arguments`` an array of struct(key, value), in order.
 
-    A submit prints its end mark; execute_bash is its command; lark-cli its command behind its name; any other is its name, its
+    FINISH prints its end mark; SHELL is its command; CLI its command behind its name; any other is its name, its
     command and --key value for the rest, each quoted."""
     command = F.get(F.filter(arguments, lambda a: a["key"] == "command"), F.lit(0))["value"]
     rest = F.transform(F.filter(arguments, lambda a: a["key"] != "command"), lambda a: F.concat(F.lit("--"), a["key"], F.lit(" "), shell_quote(a["value"])))
     built = F.concat_ws(" ", shell_quote(name), shell_quote(command), F.when(F.size(rest) > 0, F.array_join(rest, " ")))
     return (
-        F.when(name == "submit", F.lit("echo '<<<Finished>>>'")).when(name == "execute_bash", F.coalesce(command, F.lit("")))
-        .when(name == "lark-cli", F.when(F.coalesce(command, F.lit("")) != "", F.concat(F.lit("lark-cli "), command)).otherwise("")).otherwise(built)
+        F.when(name == FINISH, F.lit(END_MARK)).when(name == SHELL, F.coalesce(command, F.lit("")))
+        .when(name == CLI, F.when(F.coalesce(command, F.lit("")) != "", F.concat(F.lit(CLI + " "), command)).otherwise("")).otherwise(built)
     )
 
 
