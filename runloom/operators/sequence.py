@@ -182,11 +182,48 @@ def split_trajectories(requests: DataFrame) -> DataFrame:
     r = scan(place(r, ["session_id"], "seq"), ["seq"], before=("seen", F.struct("committed", "tools"), 1)).withColumn("prev", _before("seen", 1))
     prev = F.col("prev.committed")
     goes_on = prev.isNotNull() & F.col("tools").eqNullSafe(F.col("prev.tools")) & (F.slice("history", F.lit(1), F.size(prev)) == prev)
+    return _trajectories(r, goes_on)
+
+
+def _trajectories(r: DataFrame, goes_on: Column) -> DataFrame:
     r = checkpoint(r.select("session_id", "seq", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1).alias("new")))
     r = scan(place(r, ["session_id"], "seq"), ["seq"], sums={"trajectory": F.col("new")})
     return r.select("session_id", "seq", "trajectory")
 
 
+def _parts(idx: Column, message: Column) -> list[Column]:
+    """The MD5 of a message at its place as four numbers below 2^32. A list of messages has their sums, so those of its beginnings are running sums."""
+    h = F.md5(F.concat(idx.cast("string"), F.coalesce(F.concat(F.lit("="), message), F.lit(""))))
+    return [F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)]
+
+
+def split_logged(requests: DataFrame, messages: DataFrame) -> DataFrame:
+    """``split_trajectories`` where each message is held once: of requests (session_id, seq, tools, log, depth, reply, ok), whose history is the
+    first ``depth`` of the ``messages`` (session_id, log, idx from 1, canonical message) of that log of the session.
+
+    Histories in full are as many messages as a session's requests squared; here beginnings are compared by 128-bit sums, those of different
+    logs too. A request whose log lacks a message at its depth goes on with none."""
+    m = messages.select("session_id", "log", "idx", *[p.alias(f"p{i}") for i, p in enumerate(_parts(F.col("idx"), F.col("message")))])
+    m = scan(place(m, ["session_id", "log"], "idx"), ["idx"], sums={f"s{i}": F.col(f"p{i}") for i in range(4)})
+    m = m.select("session_id", "log", "idx", F.array("s0", "s1", "s2", "s3").alias("digest")).alias("m")
+
+    def begins(r: DataFrame, n: Column, name: str) -> DataFrame:
+        """Digests of the first n messages; rows without n have none, and are spread by their own number."""
+        r = r.withColumn("_at", F.coalesce(n, -1 - F.abs("seq"))).alias("r")
+        at = F.col("r.session_id").eqNullSafe(F.col("m.session_id")) & F.col("r.log").eqNullSafe(F.col("m.log")) & (F.col("r._at") == F.col("m.idx"))
+        return r.join(m, at, "left").select("r.*", F.col("m.digest").alias(name)).drop("_at")
+
+    own = F.col("depth") > 0
+    r = begins(requests.where("ok").select("session_id", "seq", "tools", "log", "depth", "reply"), F.when(own, F.col("depth")), "digest")
+    n = F.col("depth") + 1
+    committed = F.zip_with(F.when(own, F.col("digest")).otherwise(F.array(*[F.lit(0).cast("long")] * 4)), F.array(*_parts(n, F.col("reply"))), lambda a, b: a + b)
+    r = r.select("session_id", "seq", "tools", "log", "depth", n.alias("n"), committed.alias("committed"))
+    r = scan(place(r, ["session_id"], "seq"), ["seq"], before=("seen", F.struct("n", "committed", "tools"), 1)).withColumn("prev", _before("seen", 1))
+    may = F.col("prev").isNotNull() & F.col("tools").eqNullSafe(F.col("prev.tools")) & (F.col("depth") >= F.col("prev.n"))
+    r = begins(r.select("session_id", "seq", "log", F.when(may, F.col("prev.n")).alias("n"), F.col("prev.committed").alias("committed")), F.col("n"), "digest")
+    return _trajectories(r, F.col("n").isNotNull() & (F.col("digest") == F.col("committed")))
+
+
 def carry_kind(lines: DataFrame) -> DataFrame:
     """``lines`` (run_id, source, byte_offset, text) with kind: that of the last marker, until a dated line without one."""
     t = F.coalesce("text", F.lit(""))
