@@ -52,7 +52,7 @@ def run_files(spark, d):
     """Events of some kinds written to a folder for each user and read back."""
     path, e = scratch(spark, "runs"), table(spark, d, "events").where("user_id is not null")
     files.write_runs(e.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("severity"), "event_id"), path, ["error", "click"])
-    return spark.read.schema("severity string, event_id long, run_id string").json(path).select("run_id", "event_id")
+    return files.read_runs(spark, path, "severity string, event_id long").select("run_id", "event_id")
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id > 5000")

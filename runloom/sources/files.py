@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runloom.shipping import by_value
+from runloom.sources import run_kernel
+
+by_value(run_kernel)
+
 
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array or JSON lines, told apart by the first character that is not blank; rows that don't parse are left out."""
@@ -113,9 +118,34 @@ def write_index(vectors: DataFrame, path: str) -> None:
     vectors.write.mode("overwrite").partitionBy("cell").parquet(path)
 
 
+def _root(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop path and its whole URI."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return fs, root, fs.makeQualified(root).toUri().toString()
+
+
+#: Which runs were written, to which files: read in place of a listing of all folders. Readers of the files skip it.
+_WRITTEN = "_runs"
+
+
 def write_runs(lines: DataFrame, path: str, levels: list[str]) -> None:
-    """Log lines (run_id, severity, ...) of the given severities, a folder a run."""
-    lines.where(F.col("severity").isin(levels)).write.mode("overwrite").partitionBy("run_id").json(path)
+    """Log lines (run_id, severity, ...) of the given severities as JSON, a folder a run, named as ``partitionBy`` does. A run's lines are in one
+    file, unless they are many or lie on a border between tasks."""
+    spark = lines.sparkSession
+    fs, root, uri = _root(spark, path)
+    fs.delete(root, True)
+    kept = lines.where(F.col("severity").isin(levels)).select(F.col("run_id").cast("string").alias("run_id"), F.to_json(F.struct(*[c for c in lines.columns if c != "run_id"])).alias("line"))
+    placed = kept.repartitionByRange("run_id", F.xxhash64("line")).sortWithinPartitions("run_id")
+    placed.mapInArrow(run_kernel.writer(uri), "run_id string, file string, rows long").write.parquet(f"{path.rstrip('/')}/{_WRITTEN}")
+
+
+def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_runs`` wrote: run_id and the columns of ``schema``."""
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    written = spark.read.schema("run_id string, file string, rows long").parquet(f"{path.rstrip('/')}/{_WRITTEN}").repartition(tasks, "file")
+    rows = written.mapInArrow(run_kernel.reader(_root(spark, path)[2]), "run_id string, line string")
+    return rows.select("run_id", F.from_json("line", schema).alias("e")).select("run_id", "e.*")
 
 
 def archive(files: Column) -> Column:
